@@ -15,6 +15,7 @@ from spoor.functions.paths import (  # noqa: F401
     base_name,
     contains_any,
     expand_env,
+    ext_in,
     file_ext,
     glob_any,
     norm_path,

@@ -25,46 +25,66 @@ def expand_env(c: Column, environment: Mapping[str, str] = rules.ENVIRONMENT) ->
 
 def base_name(c: Column) -> Column:
     """Text after the last slash or backslash; empty when the path ends with one."""
-    return F.regexp_extract(c, r"[^\\/]*$", 0)
+    return F.substring_index(F.replace(c, F.lit("/"), F.lit("\\")), "\\", -1)
 
 
 def file_ext(c: Column) -> Column:
     """Lower-case extension with its dot; empty for none and for leading-dot names."""
-    return F.regexp_extract(F.lower(c), r"[^/.][^/]*(\.[^./\\]*)$", 1)
+    name = F.substring_index(F.lower(c), "/", -1)
+    tail = F.substring_index(name, ".", -1)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(tail) - 1)
+    named = name.contains(".") & (F.ltrim(stem, F.lit(".")) != "") & ~tail.contains("\\")
+    return F.when(named, F.concat(F.lit("."), tail)).otherwise(F.when(c.isNotNull(), ""))
 
 
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def _one_of(items: Sequence[str]) -> str:
+    return "(" + "|".join(re.escape(i.lower()) for i in items) + ")"
 
 
 def contains_any(c: Column, items: Sequence[str]) -> Column:
-    """True when any item occurs in the text, ignoring case; false for null."""
-    low = F.lower(c)
-    return F.coalesce(any_of([low.contains(i.lower()) for i in items]), F.lit(False))
+    """True when any item occurs in the text, ignoring case; false for null.
+
+    One pattern, so the text expression is evaluated once however long the list is.
+    """
+    if not items:
+        return F.lit(False)
+    return F.coalesce(F.lower(c).rlike(_one_of(items)), F.lit(False))
 
 
 def starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
-    return F.coalesce(any_of([c.startswith(p.lower()) for p in prefixes]), F.lit(False))
+    if not prefixes:
+        return F.lit(False)
+    return F.coalesce(c.rlike("^" + _one_of(prefixes)), F.lit(False))
+
+
+def ext_in(c: Column, extensions: Sequence[str]) -> Column:
+    """True when the file extension is listed; one pattern, so the path is read once."""
+    listed = "|".join(re.escape(e.lower().lstrip(".")) for e in extensions)
+    return F.coalesce(F.lower(c).rlike(rf"[^/.]\.+({listed})$"), F.lit(False))
 
 
 def under_prefix(c: Column, prefixes: Sequence[str], compat: bool = False) -> Column:
     """True when the path, without its drive, starts with one of the prefixes.
 
-    ``compat`` removes any leading run of the characters ``c``, ``:`` and ``\\``
+    ``compat`` skips any leading run of the characters ``c``, ``:`` and ``\\``
     instead of a drive, so that ``catalog`` is compared as ``atalog``.
     """
-    low = F.lower(F.replace(c, F.lit("/"), F.lit("\\")))
-    strip = r"^[c:\\]+" if compat else r"^([a-z]:)?\\*"
-    return starts_with_any(F.regexp_replace(low, strip, ""), prefixes)
+    if not prefixes:
+        return F.lit(False)
+    skip = r"[c:\\/]*+" if compat else r"(?:[a-z]:)?+[\\/]*+"
+    listed = "|".join(re.escape(p.lower()).replace(r"\\", r"[\\/]") for p in prefixes)
+    return F.coalesce(F.lower(c).rlike(f"^{skip}({listed})"), F.lit(False))
 
 
 def glob_regex(pattern: str) -> str:
-    """One whole-text regular expression for a ``*``/``?`` pattern."""
+    """Regular expression of a whole ``*``/``?`` pattern."""
     parts = {"*": ".*", "?": "."}
-    return "(?s)^" + "".join(parts.get(ch, re.escape(ch)) for ch in pattern) + "$"
+    return "".join(parts.get(ch, re.escape(ch)) for ch in pattern)
 
 
 def glob_any(c: Column, patterns: Sequence[str]) -> Column:
     """True when the normalised path matches one of the patterns; false for empty."""
-    norm = norm_path(c)
-    return F.coalesce(any_of([norm.rlike(glob_regex(p.lower())) for p in patterns]), F.lit(False))
+    if not patterns:
+        return F.lit(False)
+    whole = "|".join(glob_regex(p.lower()) for p in patterns)
+    return F.coalesce(norm_path(c).rlike(f"(?s)^({whole})$"), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoor import rules
-from spoor.functions import base_name, contains_any, file_ext
+from spoor.functions import base_name, contains_any, ext_in
 from spoor.operators.process import with_parent
 from spoor.scale import last_before
 
@@ -254,7 +254,7 @@ def risky_downloads(
     history: DataFrame, extensions: Sequence[str] = rules.DOWNLOAD_EXTENSIONS
 ) -> DataFrame:
     """Executable downloads and hits on raw-IP addresses."""
-    runs = (F.col("event") == "download") & file_ext(F.col("download_path")).isin(list(extensions))
+    runs = (F.col("event") == "download") & ext_in(F.col("download_path"), extensions)
     raw = F.col("url").rlike(r"^[a-z]+://\d{1,3}(\.\d{1,3}){3}([:/?#]|$)")
     return history.withColumns(
         {"executable": F.coalesce(runs, F.lit(False)), "raw_ip": F.coalesce(raw, F.lit(False))}

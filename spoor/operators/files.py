@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor import rules
-from spoor.functions import contains_any, file_ext, iso_z, parse_iso, under_prefix
+from spoor.functions import contains_any, ext_in, iso_z, parse_iso, under_prefix
 from spoor.scale import first_per_key, small_side
 from spoor.session import durable
 
@@ -38,103 +38,117 @@ def _seconds(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
 
 
-def _facts(cfg: FileRules) -> dict[str, Column]:
-    """Columns the rules share. Input: path, entropy, ads, created, fn_created."""
+def _with_facts(df: DataFrame, cfg: FileRules) -> DataFrame:
+    """Facts the rules share, computed once per row as ``_`` columns.
+
+    Input: path, entropy, ads, created, fn_created.
+    """
     path = F.coalesce(F.col("path"), F.lit(""))
-    low = F.lower(path)
-    gap = _seconds("created") - _seconds("fn_created")
     inside = F.lit(False)
     if cfg.window:
         inside = F.coalesce(F.col("created").between(*cfg.window), F.lit(False))
-    return {
-        "path": path,
-        "low": low,
-        "ext": file_ext(path),
-        "hot": contains_any(path, cfg.suspicious),
-        "trusted": under_prefix(path, cfg.trusted, cfg.compat),
-        "entropy": F.coalesce(F.col("entropy").cast("double"), F.lit(0.0)),
-        "gap": gap,
-        "far": F.coalesce(F.abs(gap) > rules.SCORE_DELTA_SECONDS, F.lit(False)),
-        "no_zone": ~F.lower(F.coalesce(F.col("ads"), F.lit(""))).contains("zone.identifier"),
-        "inside": inside,
-    }
+    return df.withColumns(
+        {
+            "_low": F.lower(path),
+            "_runs_scored": ext_in(path, cfg.scored_extensions),
+            "_runs_tagged": ext_in(path, cfg.tagged_extensions),
+            "_hot": contains_any(path, cfg.suspicious),
+            "_trusted": under_prefix(path, cfg.trusted, cfg.compat),
+            "_entropy": F.coalesce(F.col("entropy").cast("double"), F.lit(0.0)),
+            "_gap": _seconds("created") - _seconds("fn_created"),
+            "_no_zone": ~F.lower(F.coalesce(F.col("ads"), F.lit(""))).contains("zone.identifier"),
+            "_inside": inside,
+        }
+    )
+
+
+_FACTS = [
+    "_low", "_runs_scored", "_runs_tagged", "_hot", "_trusted", "_entropy", "_gap", "_no_zone",
+    "_inside",
+]
+
+
+def _far() -> Column:
+    return F.coalesce(F.abs("_gap") > rules.SCORE_DELTA_SECONDS, F.lit(False))
 
 
 def score_files(df: DataFrame, cfg: FileRules = FileRules()) -> DataFrame:
     """Adds ``score``, a sum of independent signals. ``known_good`` is optional."""
-    f = _facts(cfg)
-    runs = f["ext"].isin(list(cfg.scored_extensions))
+    wide = _with_facts(df, cfg)
+    runs = F.col("_runs_scored")
 
     def points(n: int, when: Column) -> Column:
         return F.when(when, n).otherwise(0)
 
     good = F.coalesce(F.col("known_good"), F.lit(False)) if "known_good" in df.columns else F.lit(False)
-    depth = F.length(f["low"]) - F.length(F.replace(f["low"], F.lit("\\"), F.lit("")))
+    depth = F.length(F.col("_low")) - F.length(F.replace(F.col("_low"), F.lit("\\"), F.lit("")))
     score = (
-        points(4, runs & f["hot"] & ~f["trusted"])
-        + points(3, (f["entropy"] > cfg.entropy_scored) & ~f["low"].contains("program files"))
-        + points(3, f["far"] & f["hot"])
-        + points(2, f["inside"])
+        points(4, runs & F.col("_hot") & ~F.col("_trusted"))
+        + points(3, (F.col("_entropy") > cfg.entropy_scored) & ~F.col("_low").contains("program files"))
+        + points(3, _far() & F.col("_hot"))
+        + points(2, F.col("_inside"))
         + points(
             2,
-            f["low"].contains("\\$recycle.bin")
-            | (f["low"].contains("\\programdata\\") & ~f["trusted"]),
+            F.col("_low").contains("\\$recycle.bin")
+            | (F.col("_low").contains("\\programdata\\") & ~F.col("_trusted")),
         )
-        + points(2, runs & ~f["trusted"] & f["no_zone"])
+        + points(2, runs & ~F.col("_trusted") & F.col("_no_zone"))
         - points(5, good)
         + points(
-            1, (depth > 8) & (f["low"].contains("windows\\") | f["low"].contains("program files"))
+            1, (depth > 8) & (F.col("_low").contains("windows\\") | F.col("_low").contains("program files"))
         )
     )
-    return df.withColumn("score", score)
+    return wide.withColumn("score", score).drop(*_FACTS)
 
 
 def tag_files(
     df: DataFrame, cfg: FileRules = FileRules(), install_date: Column | None = None
 ) -> DataFrame:
     """Adds ``tags``: named anomalies with their detail, empty when trusted and not escalated."""
-    f = _facts(cfg)
-    runs = f["ext"].isin(list(cfg.tagged_extensions))
+    wide = _with_facts(df, cfg)
+    runs = F.col("_runs_tagged")
     mismatch = F.coalesce(F.col("magic_mismatch"), F.lit("")) if "magic_mismatch" in df.columns else F.lit("")
-    back = -f["gap"]
+    back = -F.col("_gap")
     early = F.lit(False) if install_date is None else F.coalesce(
         F.col("created") < install_date, F.lit(False)
     )
 
     def whole(c: Column) -> Column:
-        return F.format_string("%.0f", F.bround(c, 0))
+        return F.call_function("format_number", c, F.lit("0"))
 
     tags = F.array_compact(
         F.array(
             F.when(mismatch != "", F.concat(F.lit("extension_magic_mismatch:"), mismatch)),
-            F.when(f["low"].contains("$recycle.bin") & runs, F.lit("recycle_bin_executable")),
+            F.when(F.col("_low").contains("$recycle.bin") & runs, F.lit("recycle_bin_executable")),
             F.when(
-                (f["entropy"] > cfg.entropy_tagged) & ~f["trusted"],
-                F.concat(F.lit("high_entropy:entropy="), F.format_string("%.2f", f["entropy"])),
+                (F.col("_entropy") > cfg.entropy_tagged) & ~F.col("_trusted"),
+                F.concat(F.lit("high_entropy:entropy="), F.call_function("format_number", F.col("_entropy"), F.lit("0.00"))),
             ),
-            F.when(runs & f["hot"] & f["no_zone"], F.lit("missing_zone_identifier")),
+            F.when(runs & F.col("_hot") & F.col("_no_zone"), F.lit("missing_zone_identifier")),
             F.when(
-                f["hot"] & (F.abs(f["gap"]) > cfg.tag_delta),
-                F.concat(F.lit("si_fn_mismatch:"), whole(F.abs(f["gap"])), F.lit("s")),
+                F.col("_hot") & (F.abs(F.col("_gap")) > cfg.tag_delta),
+                F.concat(F.lit("si_fn_mismatch:"), whole(F.abs(F.col("_gap"))), F.lit("s")),
             ),
             F.when(
-                under_prefix(f["path"], cfg.system_binaries, cfg.compat)
+                under_prefix(F.col("path"), cfg.system_binaries, cfg.compat)
                 & runs
                 & (back > cfg.tag_delta),
                 F.concat(F.lit("system_path_timestomp:"), whole(back), F.lit("s")),
             ),
             F.when(
-                f["hot"] & early,
+                F.col("_hot") & early,
                 F.concat(F.lit("pre_install_date:si="), iso_z(F.col("created").cast("timestamp"))),
             ),
         )
     )
-    names = F.transform(tags, lambda t: F.substring_index(t, ":", 1))
+    names = F.transform("_tags", lambda t: F.substring_index(t, ":", 1))
     loud = F.arrays_overlap(names, F.array(*[F.lit(e) for e in cfg.escalated]))
-    return df.withColumn(
+    return wide.withColumn("_tags", tags).withColumn(
         "tags",
-        F.when(f["trusted"] & ~loud, F.array().cast("array<string>")).otherwise(tags),
-    )
+        F.when(F.col("_trusted") & ~loud, F.array().cast("array<string>")).otherwise(
+            F.col("_tags")
+        ),
+    ).drop("_tags", *_FACTS)
 
 
 def top_files(scored: DataFrame, cfg: FileRules = FileRules(), order: str = "line_no") -> DataFrame:
@@ -174,11 +188,10 @@ def file_disposition(
 
 def file_stats(scored: DataFrame, cfg: FileRules = FileRules()) -> DataFrame:
     """One row of statistics over the whole table, in one pass."""
-    f = _facts(cfg)
-    runs = f["ext"].isin(list(cfg.scored_extensions))
+    runs = F.col("_runs_scored")
     n = F.col("score")
     above = F.count_if(n >= cfg.threshold)
-    return scored.agg(
+    return _with_facts(scored, cfg).agg(
         F.count(F.lit(1)).alias("total_records"),
         above.alias("above_threshold"),
         F.least(above, F.lit(cfg.top_n).cast("bigint")).alias("filtered_in"),
@@ -187,11 +200,11 @@ def file_stats(scored: DataFrame, cfg: FileRules = FileRules()) -> DataFrame:
         F.count_if(n.between(4, 5)).alias("score_4_5"),
         F.count_if(n == 3).alias("score_3"),
         F.count_if(
-            (f["entropy"] > cfg.entropy_counted) & ~f["low"].contains("program files")
+            (F.col("_entropy") > cfg.entropy_counted) & ~F.col("_low").contains("program files")
         ).alias("entropy_anomalies"),
-        F.count_if(f["far"]).alias("timestomping_candidates"),
-        F.count_if(runs & f["hot"] & f["no_zone"]).alias("missing_zone_id"),
-        F.count_if(f["inside"]).alias("attack_window_hits"),
+        F.count_if(_far()).alias("timestomping_candidates"),
+        F.count_if(runs & F.col("_hot") & F.col("_no_zone")).alias("missing_zone_id"),
+        F.count_if(F.col("_inside")).alias("attack_window_hits"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor import rules
-from spoor.functions import contains_any, expand_env, file_ext, norm_path
+from spoor.functions import contains_any, expand_env, ext_in, norm_path
 from spoor.functions.paths import starts_with_any
 
 
@@ -29,8 +29,8 @@ def publisher_rule(
     prefixes: Sequence[str] = rules.PUBLISHER_PREFIXES,
     authors: Sequence[str] = rules.PUBLISHER_AUTHORS,
     boring: Sequence[str] = rules.BORING_TASK_PREFIXES,
-) -> Column:
-    """Name of the first rule that decides a record; null when none does.
+) -> DataFrame:
+    """Adds ``rule``: the first rule that decides a record; null when none does.
 
     ``suspicious`` keeps the record, every other rule drops it, except that a WMI
     record is settled by its stub flag alone (``wmi`` drops, ``wmi_kept`` keeps).
@@ -39,31 +39,42 @@ def publisher_rule(
         *[F.nullif(_field(df, n), F.lit("")) for n in ("action", "path", "data", "url")],
         F.lit(""),
     )
-    author, name = F.trim(_field(df, "author")), F.trim(_field(df, "name"))
-    run_as = F.trim(_field(df, "run_as"))
+    staged = df.withColumns(
+        {
+            "_action": action,
+            "_author": F.trim(_field(df, "author")),
+            "_boring": starts_with_any(F.lower(F.trim(_field(df, "name"))), boring),
+            "_run_as": F.trim(_field(df, "run_as")),
+        }
+    )
     wmi = (_field(df, "type") == "persistence") & (_field(df, "mechanism") == "wmi")
-    norm = expand_env(F.lower(F.replace(action, F.lit("/"), F.lit("\\"))))
+    norm = expand_env(F.lower(F.replace(F.col("_action"), F.lit("/"), F.lit("\\"))))
     norm = F.regexp_replace(F.regexp_replace(norm, '^[" ]+', ""), r"\\{2,}", r"\\")
-    is_boring = starts_with_any(F.lower(name), boring)
-    return (
-        F.when(contains_any(action, suspicious), "suspicious")
+    staged = staged.withColumn("_norm", norm)
+    n, run_as = F.col("_norm"), F.col("_run_as")
+    vendor = (F.col("_author") != "") & contains_any(F.col("_author"), authors)
+    return staged.withColumn(
+        "rule",
+        F.when(contains_any(F.col("_action"), suspicious), "suspicious")
         .when(wmi & (_field(df, "needs_full_parser") == "true"), "wmi")
         .when(wmi, "wmi_kept")
-        .when(action == "", "empty")
-        .when(starts_with_any(norm, prefixes), "canonical")
+        .when(F.col("_action") == "", "empty")
+        .when(starts_with_any(n, prefixes), "canonical")
         .when(
-            ~norm.contains("\\") & ~norm.contains(":") & run_as.isin(rules.SYSTEM_ACCOUNTS),
+            ~n.contains("\\") & ~n.contains(":") & run_as.isin(rules.SYSTEM_ACCOUNTS),
             "bare_name",
         )
-        .when((author != "") & contains_any(author, authors) & is_boring, "vendor")
-        .when(run_as.isin(rules.TOP_SYSTEM_ACCOUNTS) & is_boring, "system_task")
-    )
+        .when(vendor & F.col("_boring"), "vendor")
+        .when(run_as.isin(rules.TOP_SYSTEM_ACCOUNTS) & F.col("_boring"), "system_task"),
+    ).drop("_action", "_author", "_boring", "_run_as", "_norm")
 
 
 def publisher_whitelist(df: DataFrame, **cfg: Sequence[str]) -> DataFrame:
     """Records worth a look: vendor noise in canonical places is gone."""
-    rule = publisher_rule(df, **cfg)
-    return df.where(rule.isNull() | rule.isin("suspicious", "wmi_kept"))
+    rule = F.col("rule")
+    return publisher_rule(df, **cfg).where(
+        rule.isNull() | rule.isin("suspicious", "wmi_kept")
+    ).drop("rule")
 
 
 def drop_categories(
@@ -94,13 +105,12 @@ def emit_file_filter(
     only_suspicious: bool = False,
 ) -> DataFrame:
     """File records worth writing; unresolved paths (``<...``) and empty ones always pass."""
-    p = F.coalesce(F.col(path), F.lit(""))
-    ext = file_ext(p)
+    p = F.col(path)
     hot = contains_any(p, suspicious)
-    wanted = ~contains_any(p, subtrees) & (~ext.isin(list(noise)) | hot)
+    dropped = contains_any(p, subtrees) | (ext_in(p, noise) & ~hot)
     if only_suspicious:
-        wanted = wanted & (ext.isin(list(images)) | hot)
-    return df.where((p == "") | p.startswith("<") | wanted)
+        dropped = dropped | ~(ext_in(p, images) | hot)
+    return df.where(~dropped | ~F.coalesce(p.rlike("^[^<]"), F.lit(False)))
 
 
 def flag_suspicious(

@@ -73,7 +73,7 @@ def recent_files(df: DataFrame, days: int, now: Column, path: str = "path",
 
 def route_log_file(c: Column) -> Column:
     """Struct ``(bucket, source, is_sysmon)`` from a log file path; null for other files."""
-    name = F.regexp_extract(c, r"[^/]*$", 0)
+    name = F.substring_index(c, "/", -1)
     low = F.lower(name)
     bucket = F.when(low.endswith(".evtx"), F.lit("eventlog_application.txt"))
     source = name

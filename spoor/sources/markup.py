@@ -130,7 +130,7 @@ def flatten_task_xml(df: DataFrame, xml_col: str, path_col: str) -> DataFrame:
         *keep,
         F.lit("persistence").alias("type"),
         F.lit("scheduled_task").alias("mechanism"),
-        F.regexp_extract(F.col(path_col), r"[^/]*$", 0).alias("name"),
+        F.substring_index(F.col(path_col), "/", -1).alias("name"),
         F.col(path_col).alias("task_path"),
         F.array_join(info, ";").alias("trigger"),
         F.array_join(kinds, ";").alias("trigger_types"),

@@ -43,7 +43,7 @@ def registry_records(df: DataFrame) -> DataFrame:
         _named(df, "LastWriteTimestamp", "lastwritetimestamp").alias("modified"),
         category.alias("category"),
         _named(df, "Description", "description").alias("description"),
-        F.coalesce(F.regexp_extract(source, r"[^/]*$", 0), F.lit("registry")).alias(
+        F.coalesce(F.substring_index(source, "/", -1), F.lit("registry")).alias(
             "artifact_source"
         ),
         F.when(auto, "autoruns").otherwise("misc").alias("bucket"),
