@@ -101,8 +101,8 @@ def _exact(content: Column) -> Column:
         F.when(F.col("_how") == "substring", F.lower(content).contains(F.col("_low")))
         .when((F.col("_how") == "word") & (F.col("_kind") == "word")
               & (F.col("_anchor") == F.col("_low")), F.lit(True))
-        .when(F.col("_how") == "word", content.rlike(bound))
-        .otherwise(content.rlike(fenced))
+        .when(F.col("_how") == "word", F.regexp_like(content, bound))
+        .otherwise(F.regexp_like(content, fenced))
     )
 
 

@@ -91,7 +91,7 @@ def union_sources(spark, sf):
 
 
 @register("file_emission_filter", """
-SELECT line_no, path FROM files WHERE NOT contains(lower(path), 'windows\\system32\\f1')
+SELECT line_no, path FROM files WHERE NOT contains(lower(path), 'windows\\system32\\1')
   AND NOT (lower(path) LIKE '%.bin' AND NOT (contains(lower(path), 'appdata\\roaming') OR contains(lower(path), '\\temp\\')
     OR contains(lower(path), '\\downloads\\') OR contains(lower(path), 'programdata') OR contains(lower(path), '\\$recycle.bin\\')))""", "files")
 def file_emission_filter(spark, sf):

@@ -18,8 +18,6 @@ def local_session(cpus: str | int = 8, app: str = "spoor") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # beyond 8000 bytes of bytecode the JVM does not compile a method: let Spark split it
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.files.openCostInBytes", "1048576")
         .getOrCreate()
     )
