@@ -110,13 +110,8 @@ def _pieces(kind: str, sizes: Sequence[int] = (GRAM,)) -> Column:
     low = F.lower(F.col("content"))
     if kind == "word":
         return F.array_distinct(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)))
-    grams = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.substr(low, i, F.lit(n)),
-        )
-        for n in sizes
-    ]
+    # a look-ahead yields overlapping pieces in one pass over the text
+    grams = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
     return F.array_distinct(F.concat(*grams))
 
 

@@ -133,7 +133,7 @@ _QUERIES = """
 SELECT 'q' || CAST(item_id AS STRING) AS query_id, CASE WHEN item_id % 7 = 6 THEN 'ram' ELSE 'disk' END AS target_module,
   CASE item_id % 5 WHEN 0 THEN 'image_name' WHEN 1 THEN 'domain' WHEN 2 THEN 'pid' WHEN 3 THEN 'registry_key' ELSE 'file_path' END AS entity_type,
   CASE item_id % 5 WHEN 4 THEN replace('C:/Windows/System32/', '/', chr(92)) ELSE '' END ||
-    lower(regexp_extract(text, '^([A-Za-z]+) ([A-Za-z]+)', 2)) || CASE WHEN item_id % 11 = 10 THEN 'zzqq' ELSE '' END AS entity_value
+    lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)) || CASE WHEN item_id % 11 = 10 THEN 'zzqq' ELSE '' END AS entity_value
 FROM {benchmark}
 """
 _DUCK_QUERIES = _QUERIES.replace("{benchmark}", "benchmark")

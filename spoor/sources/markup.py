@@ -54,16 +54,13 @@ def flatten_event_xml(
     if allow:
         read = read.where(F.col("_id").isin(*allow, *always))
 
-    def pick(names: Sequence[str]) -> Column:
+    def first_value(name: str) -> Column:
         # the first entry of a name counts, even when it is empty
-        firsts = [
-            F.nullif(
-                F.get(F.filter(F.col("_d"), lambda d, n=n: d["k"] == n.lower()), F.lit(0))["v"],
-                F.lit(""),
-            )
-            for n in names
-        ]
-        return F.coalesce(*firsts)
+        hits = F.filter(F.col("_d"), lambda d: d["k"] == name.lower())
+        return F.nullif(F.get(hits, F.lit(0))["v"], F.lit(""))
+
+    def pick(names: Sequence[str]) -> Column:
+        return F.coalesce(*[first_value(n) for n in names])
 
     by_field: dict[str, Column] = {}
     for (number, from_sysmon), fields in rules.EVENT_XML_FIELDS.items():
