@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spoor import rules
 from spoor.functions import contains_any, ext_in, iso_z, parse_iso, under_prefix
-from spoor.scale import first_per_key, small_side
+from spoor.scale import first_per_key, small_side, spread
 from spoor.session import durable
 
 
@@ -275,7 +275,7 @@ def entropy(df: DataFrame, key: Sequence[str], text: str, digits: int = 3) -> Da
     Symbols are counted with map-side combine, so a large body is many small rows.
     """
     hexed = F.hex(F.col(text))
-    symbols = df.select(
+    symbols = spread(df).select(
         *key,
         F.explode(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1))).alias("_s"),
     )

@@ -9,6 +9,7 @@ work grows with the text, not with text times keys.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from spoor import rules
 from spoor.functions import base_name, first_iso, key_class
 from spoor.functions.text import IPV4
 from spoor.operators.filters import trivially_benign
-from spoor.scale import capped_rank, fits, small_side
+from spoor.scale import capped_rank, fits, small_side, spread
 
 WORDS = r"(?U)\w+"
 GRAM = 3
@@ -106,13 +107,36 @@ def _exact(content: Column) -> Column:
     )
 
 
-def _pieces(kind: str, sizes: Sequence[int] = (GRAM,)) -> Column:
+# Distinct gram anchors up to which lines are scanned for exactly those anchors.
+LISTED_GRAMS = 500
+
+
+def _words() -> Column:
+    return F.array_distinct(
+        F.regexp_extract_all(F.lower(F.col("content")), F.lit(WORDS), F.lit(0))
+    )
+
+
+def _grams(part: DataFrame) -> Column:
+    """Distinct anchors of a line. A look-ahead yields overlapping pieces in one pass.
+
+    When the keys have few anchors the pattern lists them, so that only hits are
+    built; otherwise all pieces of the anchor sizes are.
+    """
     low = F.lower(F.col("content"))
-    if kind == "word":
-        return F.array_distinct(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)))
-    # a look-ahead yields overlapping pieces in one pass over the text
-    grams = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return F.array_distinct(F.concat(*grams))
+    listed = [
+        r[0] for r in part.select("_anchor").distinct().limit(LISTED_GRAMS + 1).collect()
+    ]
+    if len(listed) <= LISTED_GRAMS:
+        by_size: dict[int, list[str]] = {}
+        for gram in sorted(listed):
+            by_size.setdefault(len(gram), []).append(re.escape(gram))
+        wanted = ["|".join(grams) for grams in by_size.values()]
+    else:
+        sizes = part.select(F.length("_anchor")).distinct().collect()  # at most GRAM values
+        wanted = [f".{{{r[0]}}}" for r in sizes]
+    found = [F.regexp_extract_all(low, F.lit(f"(?s)(?=({w}))"), F.lit(1)) for w in wanted]
+    return F.array_distinct(F.concat(*found))
 
 
 def match_lines(keys: DataFrame, lines: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -125,18 +149,17 @@ def match_lines(keys: DataFrame, lines: DataFrame, on: Sequence[str] = ()) -> Da
     """
     kinds = [r[0] for r in keys.select("_kind").distinct().collect()] or ["word"]  # at most two
     small = fits(keys)
+    lines = spread(lines)
     found = []
     for kind in kinds:
         part = keys.where(F.col("_kind") == kind)
-        sizes = (GRAM,)
-        if kind == "gram":
-            sizes = sorted(r[0] for r in part.select(F.length("_anchor")).distinct().collect())
+        parts = _words() if kind == "word" else _grams(part)
         join_on = ["_anchor", *on]
         if small:
-            pieces = lines.withColumn("_anchor", F.explode(_pieces(kind, sizes)))
+            pieces = lines.withColumn("_anchor", F.explode(parts))
             hits = pieces.join(F.broadcast(part), join_on)
         else:
-            pieces = lines.select(*dict.fromkeys([*LINE, *on]), F.explode(_pieces(kind, sizes)).alias("_anchor"))
+            pieces = lines.select(*dict.fromkeys([*LINE, *on]), F.explode(parts).alias("_anchor"))
             candidates = pieces.join(part, join_on)
             rest = [c for c in candidates.columns if c not in lines.columns]
             hits = candidates.select(*LINE, *rest).join(lines, LINE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["functions", "events", "files", "process", "search", "cases"]
+AREAS = ["functions", "events", "files", "process", "search", "cases", "sources"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

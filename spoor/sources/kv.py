@@ -13,11 +13,16 @@ PAIR = r' *([^=]*)=("(?:\\.|[^"\\]|\\$)*"?|[^ ]*)'
 
 def last_wins_map(pairs: Column) -> Column:
     """Map from an array of ``(k, v)``: first position of a key, last value."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(
-        keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
-    )
-    return F.map_from_arrays(keys, values)
+
+    def build(ps: Column) -> Column:
+        keys = F.array_distinct(F.transform(ps, lambda p: p["k"]))
+        values = F.transform(
+            keys, lambda k: F.element_at(F.filter(ps, lambda p: p["k"] == k), -1)["v"]
+        )
+        return F.map_from_arrays(keys, values)
+
+    # bound as a lambda variable, the pairs are computed once per row
+    return F.transform(F.array(pairs), build)[0]
 
 
 def parse_kv(c: Column) -> Column:

@@ -70,7 +70,7 @@ def _true(name: str) -> Column:
 def clean_path(c: Column) -> Column:
     """Null marks removed, the kernel's root alias rewritten to a drive path."""
     text = _blank(c)
-    return F.regexp_replace(text, r"(?i)^\\SystemRoot\\", r"C:\\\\Windows\\\\")
+    return F.regexp_replace(text, r"(?i)^\\SystemRoot\\", r"C:\\Windows\\")
 
 
 def process_table(rows: DataFrame, via: str) -> DataFrame:
