@@ -1,0 +1 @@
+"""Event operators over files as they arrive."""

@@ -1,0 +1,41 @@
+"""Incremental forms of the event operators: same keys, same counts, with a watermark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from spoor.operators.detections import FAILURE
+from spoor.operators.events import mark_events
+
+
+def event_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def running_summary(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Count, first and last time per event key and day; days close at the watermark."""
+    return (
+        mark_events(events)
+        .where(F.col("_key").isNotNull())
+        .withWatermark("time", late)
+        .groupBy("_key", F.window("time", "1 day").alias("w"))
+        .agg(
+            F.count(F.lit(1)).alias("count"), F.min("time").alias("first"),
+            F.max("time").alias("last"),
+        )
+        .select(F.col("_key").alias("key"), F.col("w.start").alias("day"), "count", "first", "last")
+    )
+
+
+def failure_bursts(events: DataFrame, n: int = 10, within: int = 600, late: str = "10 minutes") -> DataFrame:
+    """Windows with at least ``n`` failures of one source."""
+    return (
+        events.where(F.col("id") == FAILURE)
+        .withWatermark("time", late)
+        .groupBy("src", F.window("time", f"{within} seconds", f"{within // 2} seconds").alias("w"))
+        .agg(F.count(F.lit(1)).alias("failures"))
+        .where(F.col("failures") >= n)
+        .select("src", F.col("w.start").alias("start"), "failures")
+    )
