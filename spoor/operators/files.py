@@ -153,11 +153,8 @@ def tag_files(
 
 def top_files(scored: DataFrame, cfg: FileRules = FileRules(), order: str = "line_no") -> DataFrame:
     """The best files above the threshold, ties in source order."""
-    return (
-        scored.where(F.col("score") >= cfg.threshold)
-        .orderBy(F.desc("score"), order)
-        .limit(cfg.top_n)
-    )
+    best = scored.orderBy(F.desc("score"), order).limit(cfg.top_n)
+    return best.where(F.col("score") >= cfg.threshold)
 
 
 def file_disposition(

@@ -367,7 +367,7 @@ def format_process_line(df: DataFrame) -> Column:
 # ---- packing ---------------------------------------------------------------------
 
 # Subtrees per image up to which one sorted list is folded in a single task.
-FOLD_LIMIT = 20_000
+FOLD_LIMIT = 100_000
 
 
 def subtree_tokens(lines: DataFrame, text: str = "line") -> DataFrame:
