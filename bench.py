@@ -13,12 +13,10 @@ from spoor.plans import registry  # noqa: E402
 from spoor.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "event_summary", "burst_then_success", "logon_before_share_use", "publisher_whitelist",
-    "file_scores", "file_tags", "file_stats", "top_files", "file_disposition", "file_paths",
-    "in_attack_window", "creation_clusters", "renamed_hashes", "benign_exclusion",
-    "process_forest", "pack_chunks", "merge_connections", "child_lists", "pivot_search",
-    "kv_round_trip", "graph_nodes", "routes", "report_summary", "trace_index", "replay",
-    "cost_rollup",
+    "event_summary", "burst_then_success", "publisher_whitelist", "file_scores", "file_stats",
+    "top_files", "in_attack_window", "creation_clusters", "renamed_hashes", "benign_exclusion",
+    "merge_connections", "graph_nodes", "report_summary", "trace_index", "replay", "cost_rollup",
+    "pivot_search",
 ]
 
 
