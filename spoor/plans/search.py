@@ -36,11 +36,9 @@ k AS (SELECT finding_id, key AS term FROM t WHERE length(key) >= 3
   UNION SELECT finding_id, trim(unnest(string_split(secondary, ','))) FROM t),
 keys AS (SELECT * FROM k WHERE length(term) >= 3)"""
 
-_W = "(^|[^\\p{L}\\p{N}_])"
-_V = "($|[^\\p{L}\\p{N}_])"
-_HITS = _KEYS + f""",
-hits AS (SELECT DISTINCT finding_id, source_file, line_no, content FROM keys JOIN lines
-  ON contains(lower(content), lower(term)) AND regexp_matches(lower(content), '{_W}' || lower(term) || '{_V}'))"""
+_HITS = _KEYS + """,
+words AS (SELECT source_file, line_no, content, unnest(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+'))) AS word FROM lines),
+hits AS (SELECT DISTINCT finding_id, source_file, line_no, content FROM words JOIN keys ON word = lower(term))"""
 
 
 def targets(spark, sf):
