@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import graph_ann, simhash
-from spoor.llm.common import table
+from spoor.llm import decontam, graph_ann, langid, quality, simhash, winnow
+from spoor.llm.common import held_out, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,43 @@ def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_graph_ann)}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, known))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, logs = langid.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), langs, logs)
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_graph_ann, op4_quality, op5_line_dedup, op6_language,
+        op7_decontamination,
+    )
+}
 ORACLES: dict[str, str] = {}
