@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontam, graph_ann, langid, quality, simhash, winnow
+from spoor.llm import decontam, graph_ann, langid, quality, secret_scan, simhash, winnow
 from spoor.llm.common import held_out, table
 
 
@@ -55,11 +55,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secret_scan.span_list(F.col("spans"), secret_scan.KINDS[:3])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_graph_ann, op4_quality, op5_line_dedup, op6_language,
-        op7_decontamination,
+        op7_decontamination, op10_secrets,
     )
 }
 ORACLES: dict[str, str] = {}
