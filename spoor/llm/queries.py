@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontam, graph_ann, langid, quality, secret_scan, simhash, winnow
+from spoor.llm import decontam, graph_ann, langid, mixing, quality, secret_scan, simhash, url_filter, winnow
 from spoor.llm.common import held_out, table
 
 
@@ -55,6 +55,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# fixed rules of the query: verdict, host, path
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template"
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "repeats", "block")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -73,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_graph_ann, op4_quality, op5_line_dedup, op6_language,
-        op7_decontamination, op10_secrets,
+        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE}
