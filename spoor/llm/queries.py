@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontam, graph_ann, langid, mixing, quality, secret_scan, simhash, url_filter, winnow
+from spoor.llm import decontam, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash, url_filter, winnow
 from spoor.llm.common import held_out, table
 
 
@@ -23,6 +23,14 @@ def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_main.main_text(pages, html_main.fit(pages))
+    return found.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
@@ -94,7 +102,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_graph_ann, op4_quality, op5_line_dedup, op6_language,
+        op1_simhash, op2_graph_ann, op3_main_text, op4_quality, op5_line_dedup, op6_language,
         op7_decontamination, op8_url_filter, op9_mixing, op10_secrets,
     )
 }
