@@ -226,5 +226,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with the same columns."""
-    kept = docs.withColumn("_leaks", leaks(docs, items)).where(F.size("_leaks") == 0)
-    return kept.drop("_leaks")
+    kept = docs.withColumn("__leaks", leaks(docs, items)).where(F.size("__leaks") == 0)
+    return kept.drop("__leaks")

@@ -58,12 +58,14 @@ def fit(
     Learns from at most ``rows`` whole texts of each language, counted on the executors; the
     driver adds up at most ``TRAIN_TASKS`` count vectors a language.
     """
-    key = F.xxhash64("text")
-    given = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull()
-    )
-    part = Window.partitionBy("lang", F.pmod(key, F.lit(SLICES))).orderBy(key)
-    few = given.withColumn("r", F.row_number().over(part)).where(F.col("r") <= -(-rows // SLICES))
+    given = docs.select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("t")
+    ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    # the choice moves hashes only; the chosen ones, bounded by ``rows`` a language, are broadcast
+    part = Window.partitionBy("lang", F.pmod("t", F.lit(SLICES))).orderBy("t")
+    keys = given.select("lang", "t").distinct().withColumn("r", F.row_number().over(part))
+    keys = keys.where(F.col("r") <= -(-rows // SLICES)).select("lang", "t")
+    few = given.join(F.broadcast(keys), ["lang", "t"]).dropDuplicates(["lang", "t"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -129,4 +131,5 @@ def predict(
                     scores.append(float(1 / np.exp(row - row[best]).sum()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_p", predicted(F.col(text_col))).select("*", "_p.*").drop("_p")
+    named = docs.drop("lang_pred", "score").withColumn("__p", predicted(F.col(text_col)))
+    return named.select("*", "__p.*").drop("__p")

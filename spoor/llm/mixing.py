@@ -100,13 +100,13 @@ def mix(
     docs = docs.drop("repeats", "block")
     rows = docs.withColumns(
         {
-            "_s": F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")),
-            "_n": tokens_of(F.col(text_col)),
-            "_h": F.md5(mark),
+            "__s": F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")),
+            "__n": tokens_of(F.col(text_col)),
+            "__h": F.md5(mark),
         }
-    ).withColumn("block", F.substring("_h", 1, BLOCK_DIGITS))
-    blocks = cut(rows.groupBy("_s", "block").agg(F.sum("_n").alias("tokens")))
-    sources = cut(blocks.groupBy("_s").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
+    ).withColumn("block", F.substring("__h", 1, BLOCK_DIGITS))
+    blocks = cut(rows.groupBy("__s", "block").agg(F.sum("__n").alias("tokens")))
+    sources = cut(blocks.groupBy("__s").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     power = exponent(sources, entropy, repeats)
     total = sources.agg(
         F.sum("tokens").alias("t"),
@@ -114,23 +114,23 @@ def mix(
     ).first()
     goal = float((total["t"] if budget is None else budget) or 0)
     planned = sources.select(
-        "_s",
+        "__s",
         F.floor(
             F.pow(F.col("tokens").cast("double"), F.lit(power)) / F.lit(total["z"] or 1.0) * F.lit(goal) + 0.5
         ).alias("budget"),
         "tokens",
     ).select(
-        "_s",
+        "__s",
         F.floor(F.col("budget") / F.col("tokens")).alias("passes"),
         (F.col("budget") % F.col("tokens")).alias("part"),
     )
     # one row a block: at most 16 ** BLOCK_DIGITS for any source
-    order = Window.partitionBy("_s").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "_s", "block")))
+    order = Window.partitionBy("__s").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "__s", "block")))
     placed = cut(
         blocks.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(planned, "_s")
+        .join(planned, "__s")
         .select(
-            "_s", "block", "passes", "part", (F.col("upto") - F.col("tokens")).alias("start"),
+            "__s", "block", "passes", "part", (F.col("upto") - F.col("tokens")).alias("start"),
             F.when(F.col("upto") <= F.col("part"), "in")
             .when(F.col("upto") - F.col("tokens") >= F.col("part"), "out")
             .otherwise("cut")
@@ -139,21 +139,21 @@ def mix(
     )
     # only the block in which a part ends is looked into, one for each source
     ends = placed.where("side = 'cut'")
-    inside = Window.partitionBy("_s", "block").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__s", "block").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     taken = (
-        rows.select("_s", "block", "_h", "_n")
-        .join(ends, ["_s", "block"])
-        .groupBy("_s", "block", "_h", "start", "part")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("before", F.col("start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        rows.select("__s", "block", "__h", "__n")
+        .join(ends, ["__s", "block"])
+        .groupBy("__s", "block", "__h", "start", "part")
+        .agg(F.sum("__n").alias("__n"))
+        .withColumn("before", F.col("start") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
         .where("before < part")
-        .select("_s", "block", "_h", F.lit(1).alias("_in"))
+        .select("__s", "block", "__h", F.lit(1).alias("__in"))
     )
-    extra = F.when(F.col("side") == "in", 1).otherwise(F.coalesce("_in", F.lit(0)))
+    extra = F.when(F.col("__side") == "in", 1).otherwise(F.coalesce("__in", F.lit(0)))
     used = (
-        rows.join(placed.select("_s", "block", "passes", "side"), ["_s", "block"])
-        .join(taken, ["_s", "block", "_h"], "left")
-        .withColumn("repeats", F.col("passes") + extra)
+        rows.join(placed.select("__s", "block", F.col("passes").alias("__passes"), F.col("side").alias("__side")), ["__s", "block"])
+        .join(taken, ["__s", "block", "__h"], "left")
+        .withColumn("repeats", F.col("__passes") + extra)
         .where("repeats > 0")
     )
     return used.select(*docs.columns, "repeats", "block")

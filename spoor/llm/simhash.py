@@ -183,8 +183,9 @@ def one_of_each(
         for batch in texts:
             yield pd.Series([fingerprint_wide(t, k) for t in batch])
 
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_t": F.xxhash64(whole)})
-    marked = cut(rows.select("_id", "_t", segments(whole).alias("_g")))
+    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": F.xxhash64(whole)})
+    marked = rows.select(F.col("__id").alias("_id"), F.col("__t").alias("_t"), segments(whole).alias("_g"))
+    marked = cut(marked)
     wordless = F.forall("_g", lambda x: x == 0)
     marked = marked.withColumn("v", F.when(wordless, F.lit(0).cast("long")).otherwise(F.col("_t")))
     classes = cut(marked.groupBy("v").agg(F.first("_g").alias("g")))
@@ -231,11 +232,11 @@ def one_of_each(
     kept = cut(
         members.join(best, "top")
         .where(F.col("_id").eqNullSafe(F.col("m._id")) & (F.col("_t") == F.col("m._t")))
-        .select(F.col("_id").alias("_ki"), F.col("_t").alias("_kt"), "n")
+        .select(F.col("_id").alias("__ki"), F.col("_t").alias("__kt"), F.col("n").alias("__n"))
     )
-    out = rows.join(kept, F.col("_id").eqNullSafe(F.col("_ki")) & (F.col("_t") == F.col("_kt")))
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["_id", "_t"])
+    out = rows.join(kept, F.col("__id").eqNullSafe(F.col("__ki")) & (F.col("__t") == F.col("__kt")))
+    if kept.where("__n > 1").limit(1).count():
+        out = out.dropDuplicates(["__id", "__t"])
     return out.select(*docs.columns)
 
 
