@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from spoor import rules
 from spoor.functions import base_name, contains_any, ext_in
 from spoor.operators.process import with_parent
-from spoor.scale import last_before
+from spoor.scale import lagged, last_before, running_sum
 
 FAILURE, SUCCESS = 4625, 4624
+# stretches of time that one task chains
+STRETCHES = 4096
 
 
 def seconds(c: str) -> Column:
@@ -30,22 +32,39 @@ def is_private(c: Column) -> Column:
 # ---- logons ----------------------------------------------------------------------
 
 
-def brute_force(ev: DataFrame, n: int = 10, within: int = 600, sliding: bool = False) -> DataFrame:
-    """Sources with at least ``n`` failures, all inside ``within`` seconds.
+def _looking_back(rows: DataFrame, within: int, measure: Callable, name: str) -> DataFrame:
+    """``measure``, given a window, over the rows of a source in the ``within`` seconds up to each row.
 
-    ``sliding`` finds the same inside any window of that length, stepped by half.
+    A source is cut into stretches of that length; rows are seen in their own stretch and
+    the next, so no task holds more of a source than two stretches.
     """
-    failed = ev.where(F.col("id") == FAILURE)
-    if sliding:
-        cut = F.window("time", f"{within} seconds", f"{within // 2} seconds")
-        return failed.groupBy("src", cut.alias("w")).agg(F.count(F.lit(1)).alias("failures")).where(
-            F.col("failures") >= n
-        ).select("src", F.col("w.start").alias("start"), "failures")
+    timed = rows.withColumn("_t", seconds("time")).withColumn("_s", F.floor(F.col("_t") / within))
+    copies = timed.withColumns({"_s": F.col("_s") + 1, "_copy": F.lit(True)})
+    span = Window.partitionBy("src", "_s").orderBy("_t").rangeBetween(-within, 0)
     return (
-        failed.groupBy("src")
-        .agg(F.count(F.lit(1)).alias("failures"), F.min("time").alias("first"),
-             F.max("time").alias("last"))
-        .where((F.col("failures") >= n) & (seconds("last") - seconds("first") < within))
+        timed.withColumn("_copy", F.lit(False))
+        .unionByName(copies)
+        .withColumn(name, measure(span))
+        .where(~F.col("_copy"))
+        .select(*rows.columns, name)
+    )
+
+
+def failure_bursts(ev: DataFrame, n: int = 10, within: int = 600) -> DataFrame:
+    """Failures that are at least the ``n``-th of their source in the time before."""
+    failed = ev.where(F.col("id") == FAILURE)
+    counted = _looking_back(failed, within, lambda w: F.count(F.lit(1)).over(w), "failures")
+    return counted.where(F.col("failures") >= n)
+
+
+def brute_force(ev: DataFrame, n: int = 10, within: int = 600) -> DataFrame:
+    """Sources with ``n`` failures inside any ``within`` seconds.
+
+    ``failures`` is the largest such number; ``first`` and ``last`` are the times at which
+    the threshold was first and last reached.
+    """
+    return failure_bursts(ev, n, within).groupBy("src").agg(
+        F.max("failures").alias("failures"), F.min("time").alias("first"), F.max("time").alias("last")
     )
 
 
@@ -111,14 +130,17 @@ def account_changes(ev: DataFrame, severity: Mapping[int, str] = rules.ACCOUNT_E
 
 
 def lateral_sweep(ev: DataFrame, k: int = 3, within: int = 600) -> DataFrame:
-    """Sources with network logons to at least ``k`` hosts inside a window."""
-    cut = F.window("time", f"{within} seconds")
-    return (
-        ev.where((F.col("id") == SUCCESS) & (F.col("logon_type") == "3"))
-        .groupBy("src", cut.alias("w"))
-        .agg(F.count_distinct("computer").alias("hosts"))
-        .where(F.col("hosts") >= k)
-        .select("src", F.col("w.start").alias("start"), "hosts")
+    """Sources with network logons to ``k`` hosts inside any ``within`` seconds.
+
+    ``hosts`` is the largest such number; ``first`` and ``last`` are the times at which the
+    threshold was first and last reached.
+    """
+    logons = ev.where((F.col("id") == SUCCESS) & (F.col("logon_type") == "3"))
+    seen = _looking_back(
+        logons, within, lambda w: F.size(F.collect_set("computer").over(w)), "hosts"
+    )
+    return seen.where(F.col("hosts") >= k).groupBy("src").agg(
+        F.max("hosts").alias("hosts"), F.min("time").alias("first"), F.max("time").alias("last")
     )
 
 
@@ -218,9 +240,12 @@ def creation_clusters(
     stretches = files.withColumn("_s", F.floor(t / gap)).groupBy(*by, "_s").agg(
         F.min(t).alias("_a"), F.max(t).alias("_z"), F.count(F.lit(1)).alias("_n")
     )
-    w = Window.partitionBy(*by).orderBy("_s")
-    new = F.coalesce(F.col("_a") - F.lag("_z").over(w) > gap, F.lit(True)).cast("int")
-    runs = stretches.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    # chained in blocks of stretches, so that no task holds the whole span
+    block = F.floor(F.col("_s") / STRETCHES)
+    order = [F.col("_s")]
+    before = lagged(stretches, by, order, block, F.col("_z"), "_before")
+    new = F.coalesce(F.col("_a") - F.col("_before") > gap, F.lit(True)).cast("int")
+    runs = running_sum(before.withColumn("_new", new), by, order, block, "_new", "_run")
     return (
         runs.groupBy(*by, "_run")
         .agg(F.sum("_n").alias("files"), F.min("_a").alias("start_s"), F.max("_z").alias("end_s"))

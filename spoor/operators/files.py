@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spoor import rules
 from spoor.functions import contains_any, ext_in, iso_z, parse_iso, under_prefix
-from spoor.scale import first_per_key, small_side, spread
+from spoor.scale import first_per_key, small_side
 from spoor.session import durable
 
 
@@ -266,15 +266,22 @@ def magic_records(files: DataFrame) -> DataFrame:
     )
 
 
+# bytes of a body that one row holds
+SLICE = 65_536
+
+
 def entropy(df: DataFrame, key: Sequence[str], text: str, digits: int = 3) -> DataFrame:
     """Shannon entropy in bits of the bytes of a text or binary column, per key.
 
-    Symbols are counted with map-side combine, so a large body is many small rows.
+    A body is first cut into slices of fixed size, each a row of its own, and symbols are
+    counted with map-side combine, so no row grows with the body.
     """
-    hexed = F.hex(F.col(text))
-    symbols = spread(df).select(
-        *key,
-        F.explode(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1))).alias("_s"),
+    body = F.col(text).cast("binary")
+    last = F.floor(F.greatest(F.octet_length(body) - 1, F.lit(0)) / SLICE).cast("int")
+    slices = df.select(*key, body.alias("_body"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    part = F.hex(F.substring("_body", F.col("_i") * SLICE + 1, SLICE))
+    symbols = slices.select(
+        *key, F.explode(F.regexp_extract_all(part, F.lit("(..)"), F.lit(1))).alias("_s")
     )
     n = F.col("_n")
     return (

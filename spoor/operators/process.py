@@ -366,10 +366,6 @@ def format_process_line(df: DataFrame) -> Column:
 
 # ---- packing ---------------------------------------------------------------------
 
-# Subtrees per image up to which one sorted list is folded in a single task.
-FOLD_LIMIT = 100_000
-
-
 def subtree_tokens(lines: DataFrame, text: str = "line") -> DataFrame:
     """Token estimate of every root subtree: ``(case_id, root_start, root_pid, tokens)``.
 
@@ -380,65 +376,14 @@ def subtree_tokens(lines: DataFrame, text: str = "line") -> DataFrame:
     ).select("case_id", "root_start", "root_pid", F.ceil(F.col("_chars") / 4).alias("tokens"))
 
 
-def pack_chunks(
-    subtrees: DataFrame, budget: int = rules.CHUNK_TOKENS, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def pack_chunks(subtrees: DataFrame, budget: int = rules.CHUNK_TOKENS) -> DataFrame:
     """Adds ``chunk`` (1-based per case): whole subtrees, greedy in order.
 
-    An oversized subtree closes the open chunk and stands alone. A case with few
-    subtrees is folded as one sorted list; a case beyond ``fold_limit`` is packed
-    by pointer doubling over running totals, which gives the same chunks without
-    ever holding a case in one task.
+    An oversized subtree closes the open chunk and stands alone. Every subtree gets the
+    start that would follow a chunk beginning with it, from running totals; the starts
+    that are reached from the first one are found by pointer doubling, so no task holds
+    a case.
     """
-    sizes = subtrees.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > fold_limit).select("case_id")
-    if big.isEmpty():
-        return _fold(subtrees, budget)
-    big = durable(big)
-    return _fold(subtrees.join(big, "case_id", "left_anti"), budget).unionByName(
-        _doubling(subtrees.join(big, "case_id", "left_semi"), budget)
-    )
-
-
-def _fold(subtrees: DataFrame, budget: int) -> DataFrame:
-    item = "struct<chunk:bigint,fill:bigint,solo:boolean,out:array<struct<s:bigint,c:bigint>>>"
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("fill"),
-        F.lit(True).alias("solo"),
-        F.array().cast("array<struct<s:bigint,c:bigint>>").alias("out"),
-    ).cast(item)
-
-    def step(acc: Column, x: Column) -> Column:
-        over = x["tokens"] > budget
-        opens = acc["solo"] | over | (acc["fill"] + x["tokens"] > budget)
-        chunk = acc["chunk"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            chunk.alias("chunk"),
-            F.when(opens, x["tokens"]).otherwise(acc["fill"] + x["tokens"]).alias("fill"),
-            over.alias("solo"),
-            F.concat(
-                acc["out"], F.array(F.struct(x["root_start"].alias("s"), chunk.alias("c")))
-            ).alias("out"),
-        ).cast(item)
-
-    listed = subtrees.groupBy("case_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("root_start").cast("bigint").alias("root_start"),
-                    F.col("tokens").cast("bigint").alias("tokens"),
-                )
-            )
-        ).alias("_l")
-    )
-    packed = listed.select("case_id", F.explode(F.aggregate("_l", start, step)["out"]).alias("_o"))
-    return subtrees.join(
-        packed.select("case_id", F.col("_o.s").alias("root_start"), F.col("_o.c").alias("chunk")),
-        ["case_id", "root_start"],
-    )
-
-
-def _doubling(subtrees: DataFrame, budget: int) -> DataFrame:
     seg = ["case_id", "seg"]
     order = [F.col("root_start")]
     bucket = F.floor(F.col("root_start") / 100_000)

@@ -139,6 +139,8 @@ def timeline(
 def report_payload(findings: DataFrame, page: int = 500) -> DataFrame:
     """JSON documents of reportable entities: the entity and up to ``page`` findings each.
 
+    Every finding keeps all its evidence.
+
     An entity with more findings continues on further pages, so no finding is lost
     and no document grows without bound. ``findings``: entity_type, entity_value,
     ord, module, verdict, severity, justification, mitre, evidence.
@@ -149,23 +151,52 @@ def report_payload(findings: DataFrame, page: int = 500) -> DataFrame:
     )
     body = F.struct(
         F.col("_n"), F.col("module"), F.col("verdict"), F.col("severity"), F.col("justification"),
-        F.col("mitre"), F.slice("evidence", 1, rules.EVIDENCE_LINES).alias("evidence"),
+        F.col("mitre"), F.col("evidence"),
+    )
+    seen = findings.groupBy(*key).agg(
+        F.min_by("module", "ord").alias("_first"),
+        F.array_sort(F.collect_set("module")).alias("_modules"),
     )
-    return paged.groupBy(*key, "page").agg(F.array_sort(F.collect_list(body)).alias("f")).select(
+    pages = paged.groupBy(*key, "page").agg(F.array_sort(F.collect_list(body)).alias("f"))
+    return pages.join(seen, key).select(
         *key, "page",
         F.to_json(
             F.struct(
                 F.col("entity_type").alias("type"), F.col("entity_value").alias("value"),
+                F.col("_first").alias("first_seen_module"),
+                F.col("_modules").alias("queried_modules"),
                 F.transform("f", lambda x: x.dropFields("_n")).alias("findings"),
             )
         ).alias("document"),
     )
 
 
-# ---- lineage ---------------------------------------------------------------------
+def report_header(findings: DataFrame, case: DataFrame) -> DataFrame:
+    """The head of the payload of each case as JSON.
+
+    ``case``: case_id, termination_reason, host_profile (any struct). Counts of entities
+    and findings by verdict, and the scanned modules, come from ``findings`` with case_id.
+    """
+    summary = findings.groupBy("case_id").agg(
+        F.array_sort(F.collect_set("module")).alias("modules_scanned"),
+        F.struct(
+            F.count_distinct("entity_type", "entity_value").alias("entities"),
+            F.count_if(F.col("verdict") == "CONFIRMED").alias("confirmed"),
+            F.count_if(F.col("verdict") == "INCONCLUSIVE").alias("inconclusive"),
+            F.count_if(F.col("verdict") == "REJECTED").alias("rejected"),
+        ).alias("summary"),
+    )
+    return case.join(summary, "case_id", "left").select(
+        "case_id",
+        F.to_json(
+            F.struct(
+                "case_id", "termination_reason", "modules_scanned", "host_profile", "summary"
+            )
+        ).alias("header"),
+    )
 
-INLINE_CALLS = 100
 
+# ---- lineage ---------------------------------------------------------------------
 
 def call_sets(calls: DataFrame) -> DataFrame:
     """Analyst calls that share one output per case: ``(case_id, call_id, ord, agent_name)``."""
@@ -180,8 +211,8 @@ def trace_index(
 
     Memory findings match the first call that wrote their chunk's file, disk
     findings the set of analyst calls of their case, enrichment its own lookup.
-    Sets of at most ``INLINE_CALLS`` are listed in ``call_ids``; larger ones are
-    counted in ``n_calls`` and read from :func:`call_sets`.
+    ``call_ids`` lists all of them; :func:`trace_calls` gives one row per finding and
+    call instead.
 
     ``findings``: case_id, module, finding_id, entity_type, entity_value, verdict,
     severity, evidence; calls: case_id, ord, call_id, agent_name, output_files;
@@ -189,7 +220,10 @@ def trace_index(
     """
     head = [
         "case_id", "module", "finding_id", "entity_type", "entity_value", "verdict", "severity",
+        "mitre",
     ]
+    if "mitre" not in findings.columns:
+        findings = findings.withColumn("mitre", F.array().cast("array<string>"))
     cells = F.transform(
         "evidence",
         lambda e: F.struct(
@@ -223,17 +257,13 @@ def trace_index(
     )
     sets = call_sets(disk_calls)
     sizes = sets.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_calls"), F.min_by("agent_name", "ord").alias("_agent")
-    )
-    inline = (
-        sets.join(sizes.where(F.col("n_calls") <= INLINE_CALLS).select("case_id"), "case_id")
-        .groupBy("case_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "call_id")))["call_id"].alias("call_ids"))
+        F.count(F.lit(1)).alias("n_calls"),
+        F.min_by("agent_name", "ord").alias("_agent"),
+        F.array_sort(F.collect_list(F.struct("ord", "call_id")))["call_id"].alias("call_ids"),
     )
     disk = (
         base.where("module = 'disk'")
         .join(sizes, "case_id", "left")
-        .join(inline, "case_id", "left")
         .select(
             *head, "evidence",
             F.coalesce("_agent", F.lit("disk/pivot_analyst")).alias("agent_name"),
@@ -247,6 +277,7 @@ def trace_index(
     asked = lookups.select(
         "case_id", F.lit("ti").alias("module"), F.col("query_id").alias("finding_id"),
         "entity_type", "entity_value", "verdict", F.lit(None).cast("string").alias("severity"),
+        F.array().cast("array<string>").alias("mitre"),
         F.array().cast(base.schema["evidence"].dataType).alias("evidence"),
         F.coalesce("agent_name", F.lit("threat_intel/vt_lookup")).alias("agent_name"),
         F.array_compact(F.array("call_id")).alias("call_ids"),
@@ -259,6 +290,14 @@ def trace_index(
     )
 
 
+def trace_calls(index: DataFrame) -> DataFrame:
+    """One row per finding and call, in the order of the calls."""
+    return index.select(
+        "case_id", "module", "finding_id", "entity_key",
+        F.posexplode("call_ids").alias("call_pos", "call_id"),
+    )
+
+
 def trace_markdown(index: DataFrame) -> DataFrame:
     """One Markdown table row per finding, to be written in ``entity_key`` order."""
     ids = F.transform("call_ids", lambda c: F.concat(F.lit("`"), c, F.lit("`")))

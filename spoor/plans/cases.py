@@ -425,12 +425,37 @@ def timeline(spark, sf):
         "event_id", F.round(F.col("gap_seconds") * 1_000_000).cast("bigint").alias("gap_us"), "note")
 
 
-@register("report_payload", None)
+@register("report_payload", _REPORT + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_value ORDER BY ord) - 1 AS n,
+  first_value(module) OVER (PARTITION BY entity_type, entity_value ORDER BY ord) AS first_seen_module,
+  list_sort(list(DISTINCT module) OVER (PARTITION BY entity_type, entity_value)) AS modules FROM rep)
+SELECT entity_type, entity_value, CAST(n // 3 AS BIGINT) AS page, CAST(n % 3 AS INTEGER) AS pos, first_seen_module,
+  array_to_string(modules, ',') AS queried_modules, module, verdict, severity, ord AS line, CAST(60 AS INTEGER) AS n_evidence FROM r""", "findings")
 def report_payload(spark, sf):
+    # sixty evidence lines each: a report keeps all of them
+    lines = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.struct(
+        F.lit("a.txt").alias("source_file"), (F.col("ord") + i).alias("line"), F.lit("c").alias("content")))
     f = report.reportable_entities(findings(spark, sf)).withColumns({
-        "justification": F.lit("because"), "mitre": F.array("technique"),
-        "evidence": F.array(F.struct(F.lit("a.txt").alias("source_file"), F.col("ord").alias("line"), F.lit("c").alias("content")))})
-    return report.report_payload(f, 3)
+        "justification": F.lit("because"), "mitre": F.array("technique"), "evidence": lines})
+    body = "struct<type:string,value:string,first_seen_module:string,queried_modules:array<string>,findings:array<struct<module:string,verdict:string,severity:string,evidence:array<struct<line:bigint>>>>>"
+    d = report.report_payload(f, 3).select("entity_type", "entity_value", "page", F.from_json("document", body).alias("d"))
+    return d.select("entity_type", "entity_value", F.col("page").cast("bigint").alias("page"), "d", F.posexplode("d.findings").alias("pos", "x")).select(
+        "entity_type", "entity_value", "page", "pos", F.col("d.first_seen_module"), F.array_join("d.queried_modules", ",").alias("queried_modules"),
+        "x.module", "x.verdict", "x.severity", F.col("x.evidence")[0]["line"].alias("line"), F.size("x.evidence").alias("n_evidence"))
+
+
+@register("report_header", """
+SELECT dataset AS case_id, 'done' AS termination_reason, array_to_string(list_sort(list(DISTINCT module)), ',') AS modules,
+  count(DISTINCT entity_type || ':' || entity_value) AS entities, count(*) FILTER (verdict = 'CONFIRMED') AS confirmed,
+  count(*) FILTER (verdict = 'REJECTED') AS rejected, 'host-' || dataset AS host FROM findings GROUP BY dataset""", "findings")
+def report_header(spark, sf):
+    f = view(spark, sf, "findings").withColumn("case_id", F.col("dataset"))
+    case = f.select("case_id").distinct().select("case_id", F.lit("done").alias("termination_reason"),
+                                                F.struct(F.concat(F.lit("host-"), "case_id").alias("host")).alias("host_profile"))
+    body = "struct<termination_reason:string,modules_scanned:array<string>,host_profile:struct<host:string>,summary:struct<entities:bigint,confirmed:bigint,rejected:bigint>>"
+    h = report.report_header(f, case).select("case_id", F.from_json("header", body).alias("h"))
+    return h.select("case_id", "h.termination_reason", F.array_join("h.modules_scanned", ",").alias("modules"), "h.summary.entities",
+                    "h.summary.confirmed", "h.summary.rejected", "h.host_profile.host")
 
 
 def _trace(spark, sf):
@@ -461,7 +486,35 @@ def trace_index(spark, sf):
     return _trace(spark, sf).select("entity_key", "module", F.array_join("call_ids", ",").alias("call_ids"))
 
 
-@register("trace_markdown", None)
+_CALLS_OF = """
+WITH f AS (SELECT *, 'case' || ord % 3 AS case_id FROM findings WHERE module = 'disk'),
+d AS (SELECT 'case' || ord % 3 AS case_id, call_id, ord FROM calls)
+SELECT f.entity_type || ':' || f.entity_value AS entity_key, 'f' || f.ord AS finding_id, d.call_id,
+  CAST(row_number() OVER (PARTITION BY f.ord ORDER BY d.ord, d.call_id) - 1 AS INTEGER) AS call_pos FROM f JOIN d USING (case_id)"""
+
+
+@register("trace_index_many_calls", _CALLS_OF, "findings", "calls")
+def trace_index_many_calls(spark, sf):
+    case = F.concat(F.lit("case"), (F.col("ord") % 3).cast("string"))
+    f = findings(spark, sf).where("module = 'disk'").withColumns({
+        "case_id": case, "finding_id": F.concat(F.lit("f"), F.col("ord").cast("string")),
+        "evidence": F.array(F.struct(F.lit("a.txt").alias("source_file"), F.col("ord").alias("line"), F.col("lang").alias("content")))})
+    calls = view(spark, sf, "calls").withColumns({"case_id": case, "output_files": F.array(F.lit("disk/analyst.txt"))})
+    asked = view(spark, sf, "findings").where("false").select(
+        F.lit("").alias("case_id"), F.lit("").alias("call_id"), F.lit("").alias("query_id"), F.lit("").alias("agent_name"), "entity_type", "entity_value", "verdict")
+    index = report.trace_index(f, calls, calls, asked)
+    return report.trace_calls(index).select("entity_key", "finding_id", "call_id", "call_pos")
+
+
+@register("trace_markdown", _TRACE.replace("first(call_id ORDER BY ord) AS call_id", "first(call_id ORDER BY ord) AS call_id, first(agent_name ORDER BY ord) AS agent")
+    .replace("string_agg(call_id, ','", "string_agg('`' || call_id || '`', ', '").replace("t AS (SELECT f.ord,", "t AS (SELECT f.ord, f.chunk, f.verdict, f.severity, finding_id, m.agent, m.call_id AS mid, d.ids, d.n,") + """
+SELECT entity_key, CASE module WHEN 'ti' THEN finding_id ELSE 'ram-chunk_' || chunk || '-f001' END AS finding_id,
+  '| `' || entity_key || '` | `' || CASE module WHEN 'ti' THEN finding_id ELSE 'ram-chunk_' || chunk || '-f001' END || '` | ' || module || ' | ' || coalesce(verdict, 'None')
+  || ' | ' || CASE WHEN module = 'ti' OR severity IS NULL THEN '—' ELSE severity END || ' | ' || CASE module WHEN 'ti' THEN '—' ELSE '`a.txt:' || ord || '`' END
+  || ' | ' || CASE module WHEN 'ti' THEN 'threat_intel/vt_lookup' WHEN 'ram' THEN coalesce(agent, 'ram/pivot_analyst') ELSE CASE WHEN n > 0 THEN 'assistant' ELSE 'disk/pivot_analyst' END END
+  || ' → ' || CASE WHEN module = 'ti' THEN '`t' || finding_id || '`' WHEN module = 'ram' THEN coalesce('`' || mid || '`', '(no call recorded)')
+    WHEN coalesce(n, 0) = 0 THEN '(no call recorded)' WHEN n = 1 THEN ids ELSE n || ' calls (see log): ' || ids END
+  || ' | `' || CASE module WHEN 'ti' THEN 'threat_intel/queries.jsonl' WHEN 'ram' THEN 'ram/agent_calls.jsonl' ELSE 'disk/agent_calls.jsonl' END || '` |' AS row FROM t""", "findings", "calls")
 def trace_markdown(spark, sf):
     return report.trace_markdown(_trace(spark, sf))
 
@@ -483,6 +536,14 @@ def agent_usage(spark, sf):
     return audit.agent_usage(view(spark, sf, "calls"))
 
 
+@register("replay_nulls", """
+SELECT event_id, row_number() OVER (PARTITION BY nullif(user_id % 5, 0) ORDER BY CASE WHEN event_id % 7 > 0 THEN ts END NULLS FIRST, event_id) AS step FROM events""")
+def replay_nulls(spark, sf):
+    case, when = F.nullif(F.col("user_id") % 5, F.lit(0)), F.when(F.col("event_id") % 7 > 0, F.col("ts"))
+    e = load(spark, sf, "events").select("event_id", when.alias("ts"), case.alias("case_id"), F.col("event_id").alias("call_id"))
+    return audit.replay(e).select("event_id", "step")
+
+
 @register("replay", """
 SELECT event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS step FROM events""")
 def replay(spark, sf):

@@ -70,21 +70,20 @@ def logons(spark, sf):
 
 
 @register("brute_force", """
-SELECT computer AS src, count(*) AS failures, min(time) AS first, max(time) AS last FROM ev WHERE id = 4625
-GROUP BY computer HAVING count(*) >= 20 AND epoch_us(max(time)) - epoch_us(min(time)) < 2590000::BIGINT * 1000000""", "ev")
+WITH b AS (SELECT s.ord, s.computer AS src, s.time, count(*) AS failures FROM ev s JOIN ev f ON f.computer = s.computer AND f.id = 4625
+  AND f.time BETWEEN s.time - INTERVAL 12 HOUR AND s.time WHERE s.id = 4625 GROUP BY ALL HAVING count(*) >= 3)
+SELECT src, max(failures) AS failures, min(time) AS first, max(time) AS last FROM b GROUP BY src""", "ev")
 def brute_force(spark, sf):
     ev = view(spark, sf, "ev").withColumn("src", F.col("computer"))
-    return det.brute_force(ev, 20, 2_590_000)
+    return det.brute_force(ev, 3, 43_200)
 
 
 @register("brute_force_windows", """
-SELECT src_ip AS src, s AS start, count(*) AS failures FROM (
-  SELECT src_ip, to_timestamp(floor(epoch(time) / 21600) * 21600 - 21600 * i)::TIMESTAMP AS s
-  FROM ev, (VALUES (0), (1)) AS t(i) WHERE id = 4625)
-GROUP BY ALL HAVING count(*) >= 3""", "ev")
+SELECT s.ord, s.src_ip AS src, count(*) AS failures FROM ev s JOIN ev f ON f.src_ip = s.src_ip AND f.id = 4625
+  AND f.time BETWEEN s.time - INTERVAL 12 HOUR AND s.time
+WHERE s.id = 4625 GROUP BY ALL HAVING count(*) >= 3""", "ev")
 def brute_force_windows(spark, sf):
-    return det.brute_force(logons(spark, sf), 3, 43_200, sliding=True).withColumn(
-        "start", F.col("start").cast("timestamp_ntz"))
+    return det.failure_bursts(logons(spark, sf), 3, 43_200).select("ord", "src", "failures")
 
 
 @register("password_spray", """
@@ -137,11 +136,13 @@ def account_changes(spark, sf):
 
 
 @register("lateral_sweep", """
-SELECT user AS src, to_timestamp(floor(epoch(time) / 86400) * 86400)::TIMESTAMP AS start, count(DISTINCT computer) AS hosts
-FROM ev WHERE id = 4624 AND logon_type = '3' GROUP BY ALL HAVING count(DISTINCT computer) >= 2""", "ev")
+WITH n AS (SELECT ord, user, computer, time FROM ev WHERE id = 4624 AND logon_type = '3'),
+w AS (SELECT s.ord, s.user AS src, s.time, count(DISTINCT f.computer) AS hosts FROM n s JOIN n f ON f.user = s.user
+  AND f.time BETWEEN s.time - INTERVAL 1 DAY AND s.time GROUP BY ALL HAVING count(DISTINCT f.computer) >= 2)
+SELECT src, CAST(max(hosts) AS INTEGER) AS hosts, min(time) AS first, max(time) AS last FROM w GROUP BY src""", "ev")
 def lateral_sweep(spark, sf):
     ev = view(spark, sf, "ev").withColumn("src", F.col("user"))
-    return det.lateral_sweep(ev, 2, 86_400).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return det.lateral_sweep(ev, 2, 86_400)
 
 
 @register("logon_before_share_use", """

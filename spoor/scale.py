@@ -20,15 +20,11 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` is proven to be small. Reads at most ``rows + 1`` rows."""
-    measured = (
-        df.limit(rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
+    """True when ``df`` is proven to be small: one aggregate with map-side combine."""
+    measured = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
+    ).first()
     return measured["n"] <= rows and measured["b"] <= size
 
 
@@ -37,13 +33,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than cores.
-
-    Only a small input has so few; a large one keeps its splits and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _with_bucket(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of the one-row-per-bucket ``side``; null keys match null keys."""
+    named = side.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in side.columns if c not in keys]
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(named[f"_key_{k}"])
+    return df.join(named, same).drop(*[f"_key_{k}" for k in keys])
 
 
 def ordinal(
@@ -56,7 +54,7 @@ def ordinal(
     """1-based position of each row inside its group.
 
     ``bucket`` must not decrease along ``order``; it decides how finely a group
-    is split. ``group`` columns and the bucket must not be null.
+    is split. Null groups and buckets are groups and buckets of their own.
     """
     keys = [*group, "_bucket"]
     cut = df.withColumn("_bucket", bucket)
@@ -70,8 +68,7 @@ def ordinal(
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        cut.withColumn("_pos", F.row_number().over(inside))
-        .join(starts, keys)
+        _with_bucket(cut.withColumn("_pos", F.row_number().over(inside)), starts, keys)
         .withColumn(name, F.col("_start") + F.col("_pos"))
         .drop("_bucket", "_pos", "_start")
     )
@@ -98,8 +95,7 @@ def running_sum(
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.withColumn("_sum", F.sum(value).over(inside))
-        .join(starts, keys)
+        _with_bucket(cut.withColumn("_sum", F.sum(value).over(inside)), starts, keys)
         .withColumn(name, F.col("_start") + F.col("_sum"))
         .drop("_bucket", "_sum", "_start")
     )
@@ -205,11 +201,11 @@ def lagged(
         .select(*keys, F.lag("_last").over(by_bucket).alias("_carry"))
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
+    marked = cut.withColumns(
+        {"_in": F.lag("_v").over(inside), "_first": F.row_number().over(inside) == 1}
+    )
     return (
-        cut.withColumns(
-            {"_in": F.lag("_v").over(inside), "_first": F.row_number().over(inside) == 1}
-        )
-        .join(carry, keys)
+        _with_bucket(marked, carry, keys)
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in")))
         .drop("_bucket", "_v", "_in", "_first", "_carry")
     )

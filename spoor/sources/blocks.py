@@ -149,7 +149,7 @@ def _disk_blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     none = F.array().cast("array<struct<source_file:string,line:bigint,content:string>>")
     return rows.where(key != "").select(
         *keep,
-        F.concat(F.lit("disk-scan-f"), F.lpad((F.col("_i") + 1).cast("string"), 3, "0")).alias(
+        F.concat(F.lit("disk-scan-f"), F.printf(F.lit("%03d"), F.col("_i") + 1)).alias(
             "finding_id"
         ),
         verdict.alias("verdict"),
@@ -214,7 +214,7 @@ def _memory_blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return blocks.where(last("PID").isNotNull()).select(
         *keep,
         "chunk",
-        (F.col("_c").cast("bigint") * 1_000_000 + F.col("_i")).alias("block_no"),
+        F.shiftleft(F.col("_c").cast("bigint"), 32).bitwiseOR(F.col("_i").cast("bigint")).alias("block_no"),
         F.regexp_extract(b, head, 1).alias("verdict"),
         last("PID").alias("pid"),
         last("PPID").alias("ppid"),

@@ -20,21 +20,22 @@ def clean_text(c: Column) -> Column:
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, source_file, line_no, content)`` with true line numbers.
 
-    Files stay splittable: lines are counted per file block, the block counts
-    (one row per block, not per line) give each block its first line number, and
-    a second scan adds the position inside the block.
+    Files stay splittable. They are scanned once, into the shared folder: numbering a
+    second scan would go wrong if that were split in another way. Lines are counted per
+    file block, and the block counts (one row per block, not per line) give each block
+    its first line number.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        clean_text(F.col("value")).alias("content"),
+    raw = durable(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            clean_text(F.col("value")).alias("content"),
+        )
     )
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = durable(
-        raw.groupBy("path", "block").agg(
-            F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
-        )
+    blocks = raw.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
     ).select(
         "path",
         "block",
