@@ -9,7 +9,6 @@ work grows with the text, not with text times keys.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +23,13 @@ from spoor.scale import capped_rank, fits, small_side
 WORDS = r"(?U)\w+"
 GRAM = 3
 LINE = ["source_file", "line_no"]
+# what may tell lines of the same name and number apart
+OWNERS = ["case_id", "path"]
+
+
+def line_key(lines: DataFrame) -> list[str]:
+    """The columns that identify a line: file and number, within its case and path if known."""
+    return [*(c for c in OWNERS if c in lines.columns), *LINE]
 
 
 # ---- keys ------------------------------------------------------------------------
@@ -107,10 +113,6 @@ def _exact(content: Column) -> Column:
     )
 
 
-# Distinct gram anchors up to which lines are scanned for exactly those anchors.
-LISTED_GRAMS = 500
-
-
 def _words() -> Column:
     return F.array_distinct(
         F.regexp_extract_all(F.lower(F.col("content")), F.lit(WORDS), F.lit(0))
@@ -118,24 +120,12 @@ def _words() -> Column:
 
 
 def _grams(part: DataFrame) -> Column:
-    """Distinct anchors of a line. A look-ahead yields overlapping pieces in one pass.
-
-    When the keys have few anchors the pattern lists them, so that only hits are
-    built; otherwise all pieces of the anchor sizes are.
-    """
+    """Distinct pieces of a line of the anchors' sizes, by a look-ahead that overlaps."""
     low = F.lower(F.col("content"))
-    listed = [
-        r[0] for r in part.select("_anchor").distinct().limit(LISTED_GRAMS + 1).collect()
+    sizes = part.select(F.length("_anchor")).distinct().collect()  # at most GRAM values
+    found = [
+        F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{r[0]}}}))"), F.lit(1)) for r in sizes
     ]
-    if len(listed) <= LISTED_GRAMS:
-        by_size: dict[int, list[str]] = {}
-        for gram in sorted(listed):
-            by_size.setdefault(len(gram), []).append(re.escape(gram))
-        wanted = ["|".join(grams) for grams in by_size.values()]
-    else:
-        sizes = part.select(F.length("_anchor")).distinct().collect()  # at most GRAM values
-        wanted = [f".{{{r[0]}}}" for r in sizes]
-    found = [F.regexp_extract_all(low, F.lit(f"(?s)(?=({w}))"), F.lit(1)) for w in wanted]
     return F.array_distinct(F.concat(*found))
 
 
@@ -158,10 +148,11 @@ def match_lines(keys: DataFrame, lines: DataFrame, on: Sequence[str] = ()) -> Da
             pieces = lines.withColumn("_anchor", F.explode(parts))
             hits = pieces.join(F.broadcast(part), join_on)
         else:
-            pieces = lines.select(*dict.fromkeys([*LINE, *on]), F.explode(parts).alias("_anchor"))
+            own = list(dict.fromkeys([*line_key(lines), *on]))
+            pieces = lines.select(*own, F.explode(parts).alias("_anchor"))
             candidates = pieces.join(part, join_on)
             rest = [c for c in candidates.columns if c not in lines.columns]
-            hits = candidates.select(*LINE, *rest).join(lines, LINE)
+            hits = candidates.select(*own, *rest).join(lines, own)
         found.append(hits.where(_exact(F.col("content"))))
     out = found[0]
     for more in found[1:]:
@@ -184,8 +175,11 @@ def pivot_hits(keys: DataFrame, lines: DataFrame) -> DataFrame:
     ``keys`` has finding_id, term and mode; ``lines`` has source_file, line_no, content.
     """
     how = F.when(F.col("mode") == "path", "substring").otherwise("word")
-    hits = match_lines(anchored(keys.select("finding_id", "term", "mode"), "term", how), lines)
-    return hits.groupBy("finding_id", *LINE).agg(F.any_value("content").alias("content"))
+    # a key of one case meets the lines of that case only
+    case = [c for c in ("case_id",) if c in keys.columns and c in lines.columns]
+    wanted = anchored(keys.select(*case, "finding_id", "term", "mode"), "term", how)
+    hits = match_lines(wanted, lines, case)
+    return hits.groupBy("finding_id", *line_key(lines)).agg(F.any_value("content").alias("content"))
 
 
 def cap_hits(
@@ -200,25 +194,28 @@ def cap_hits(
     last file of the order).
     """
     ranked = hits.join(small_side(files), "source_file")
+    own = [*(c for c in ("case_id",) if c in hits.columns), "finding_id"]
+    order = [F.col("line_no"), *(F.col(c) for c in ("path",) if c in hits.columns)]
     last = files.agg(F.max("file_rank").alias("_last"))
     near = capped_rank(
-        ranked, ["finding_id", "source_file"], [F.col("line_no")], per_file, F.col("line_no"), "_n"
+        ranked, [*own, "source_file"], order, per_file, F.col("line_no"), "_n"
     )
     # at most per_file rows of each file are left, so a finding is small here
     kept = capped_rank(
-        near, ["finding_id"], [F.col("file_rank"), F.col("line_no")], total, F.col("line_no"),
+        near, own, [F.col("file_rank"), *order], total, F.col("line_no"),
         "rank", ways=1,
     ).drop("_n")
     cut = (
         kept.join(F.broadcast(last))  # one row
-        .groupBy("finding_id")
+        .groupBy(*own)
         .agg((F.count_if(F.col("file_rank") < F.col("_last")) >= total).alias("truncated"))
     )
-    return kept.join(cut, "finding_id")
+    return kept.join(cut, own)
 
 
 def hits_per_file(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("finding_id", "source_file").agg(F.count(F.lit(1)).alias("hits"))
+    own = [*(c for c in ("case_id",) if c in hits.columns), "finding_id"]
+    return hits.groupBy(*own, "source_file").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def pivot_search(
@@ -284,6 +281,72 @@ def format_pivot(findings: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def pid_keys(processes: DataFrame) -> DataFrame:
+    """``(finding_id, pos, term, mode)``: every pid as a whole word, of whatever length.
+
+    ``processes``: pid, ppid, image, cmdline, as read from ``[PROCESS]`` blocks.
+    """
+    pid = F.col("pid").cast("string")
+    return processes.where(F.coalesce(pid, F.lit("")) != "").select(
+        pid.alias("finding_id"), F.lit(0).cast("bigint").alias("pos"), pid.alias("term"),
+        F.lit("word").alias("mode"),
+    ).distinct()
+
+
+def pivot_memory(
+    processes: DataFrame,
+    lines: DataFrame,
+    files: DataFrame,
+    per_file: int = rules.HITS_PER_FILE,
+    total: int = rules.HITS_PER_FINDING,
+) -> DataFrame:
+    """Capped evidence lines of every pid; ``finding_id`` is the pid."""
+    return pivot_search(pid_keys(processes), lines, files, per_file, total)
+
+
+def format_memory_pivot(processes: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(pid, report)``: the block of each process in the evidence report."""
+    section = hits.groupBy("finding_id", "file_rank", "source_file").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "line_no",
+                    F.concat(F.lit("L"), F.col("line_no").cast("string"), F.lit(": "), "content")
+                    .alias("t"),
+                )
+            )
+        )["t"].alias("_t")
+    )
+    text = section.groupBy("finding_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "file_rank",
+                    F.concat(
+                        F.lit("\n--- "), "source_file", F.lit(" ---\n"), F.array_join("_t", "\n")
+                    ).alias("s"),
+                )
+            )
+        )["s"].alias("_s")
+    )
+    pid = F.col("pid").cast("string")
+    command = F.nullif(F.coalesce("cmdline", F.lit("")), F.lit(""))
+    head = F.concat(
+        F.lit("=== PID "), pid, F.lit(" ("), F.coalesce("image", F.lit("")), F.lit(", ppid="),
+        F.coalesce(F.col("ppid").cast("string"), F.lit("")), F.lit(") ==="),
+    )
+    return processes.join(text, pid == F.col("finding_id"), "left").select(
+        "pid",
+        F.concat_ws(
+            "\n", head, F.concat(F.lit("Cmdline: "), command),
+            F.coalesce(
+                F.array_join("_s", "\n"), F.lit("(no matching lines in any artifact file)")
+            ),
+            F.lit(""),
+        ).alias("report"),
+    )
+
+
 def budget_lines(hits: DataFrame, n: int = rules.BUDGET_LINES) -> DataFrame:
     """Per finding and file: hits found and shown when ``n`` lines are shared in file order.
 

@@ -124,6 +124,60 @@ def pivot_report(spark, sf):
     return ops.format_pivot(t, hits)
 
 
+@register("pivot_hits_cases", "WITH " + _HITS.replace("unnest(list_distinct", "doc_case, unnest(list_distinct").replace("AS word FROM lines)", "AS word FROM cased)").replace(
+    "words AS (", "cased AS (SELECT *, u.doc_case FROM lines, (VALUES (0), (1), (2)) u(doc_case) WHERE doc_case <> line_no % 3),\nwords AS (").replace(
+    "SELECT DISTINCT finding_id,", "SELECT DISTINCT doc_case, finding_id,").replace("ON word = lower(term)", "ON word = lower(term) AND finding_id % 3 = doc_case") + """
+SELECT doc_case AS case_id, finding_id, source_file, line_no FROM hits""", "lines")
+def pivot_hits_cases(spark, sf):
+    # the same file and line in several cases; a key belongs to one of them
+    cases = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    lines = view(spark, sf, "lines").withColumn("case_id", cases).where(F.col("case_id") != F.col("line_no") % 3)
+    keys = ops.search_keys(targets(spark, sf)).withColumn("case_id", (F.col("finding_id") % 3).cast("int"))
+    return ops.pivot_hits(keys, lines).select("case_id", "finding_id", "source_file", "line_no")
+
+
+def _memory(spark, sf):
+    processes = load(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("pid"), F.col("s_nationkey").alias("ppid"), F.col("s_name").alias("image"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("run "), F.col("s_name"))).alias("cmdline"))
+    names = F.array(*[F.lit(f) for f in rules.MEMORY_PID_FILES])
+    # one line per order and place: the pair repeats in the table
+    items = load(spark, sf, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(
+        F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    lines = items.select(
+        F.get(names, F.col("l_linenumber") - 1).alias("source_file"), F.col("l_orderkey").alias("line_no"),
+        F.concat_ws(" ", F.lit("PID"), F.col("l_suppkey").cast("string"), F.concat(F.lit("0x"), F.col("l_partkey").cast("string")),
+                    F.col("l_partkey").cast("string"), F.concat(F.col("l_orderkey").cast("string"), F.lit("K"))).alias("content"))
+    return processes, lines, ops.file_ranks(spark, rules.MEMORY_PID_FILES)
+
+
+_MEMORY = "WITH names AS (SELECT [" + ", ".join(f"'{f}'" for f in rules.MEMORY_PID_FILES) + """] AS n),
+l AS (SELECT n[l_linenumber] AS source_file, l_linenumber - 1 AS fr, l_orderkey AS line_no, l_suppkey, l_partkey,
+  'PID ' || l_suppkey || ' 0x' || l_partkey || ' ' || l_partkey || ' ' || l_orderkey || 'K' AS content FROM (
+    SELECT l_linenumber, l_orderkey, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), names),
+h AS (SELECT s_suppkey AS pid, l.* FROM supplier JOIN l ON l_suppkey = s_suppkey UNION SELECT s_suppkey, l.* FROM supplier JOIN l ON l_partkey = s_suppkey),
+f AS (SELECT *, row_number() OVER (PARTITION BY pid, fr ORDER BY line_no) AS k FROM h),
+c AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY fr, line_no) AS rank FROM f WHERE k <= 30)"""
+
+
+@register("pivot_memory", _MEMORY + """
+SELECT CAST(pid AS VARCHAR) AS finding_id, source_file, line_no, content, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 80""")
+def pivot_memory(spark, sf):
+    return ops.pivot_memory(*_memory(spark, sf), 30, 80).select("finding_id", "source_file", "line_no", "content", "rank")
+
+
+@register("pivot_memory_report", _MEMORY + """,
+s AS (SELECT pid, fr, chr(10) || '--- ' || source_file || ' ---' || chr(10) || string_agg('L' || line_no || ': ' || content, chr(10) ORDER BY line_no) AS s
+  FROM c WHERE rank <= 80 GROUP BY pid, fr, source_file),
+e AS (SELECT pid, string_agg(s, chr(10) ORDER BY fr) AS e FROM s GROUP BY pid)
+SELECT s_suppkey AS pid, '=== PID ' || s_suppkey || ' (' || s_name || ', ppid=' || s_nationkey || ') ===' || chr(10) ||
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Cmdline: run ' || s_name || chr(10) ELSE '' END ||
+  coalesce(e, '(no matching lines in any artifact file)') || chr(10) AS report FROM supplier LEFT JOIN e ON pid = s_suppkey""")
+def pivot_memory_report(spark, sf):
+    processes, lines, files = _memory(spark, sf)
+    return ops.format_memory_pivot(processes, ops.pivot_memory(processes, lines, files, 30, 80))
+
+
 # ---- entity queries --------------------------------------------------------------
 
 # every address found in a document is asked for, besides names and unsupported types
