@@ -28,21 +28,25 @@ NO_ID = -(1 << 63)
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(d, t, h, n)`` per text: id, hash of the text, and of its lines the hashes and words."""
-    lines = F.split(F.col("text"), LINE_END)
+    lines = F.split(F.lower("text"), LINE_END)
     return (
         docs.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
             F.col(text_col).alias("text"),
         )
         .where(F.length("text") > 0)
-        .select("d", F.xxhash64("text").bitwiseAND((1 << 35) - 1).alias("t"), lines.alias("lines"))
+        .select(
+            "d",
+            F.xxhash64("text").bitwiseAND((1 << 35) - 1).alias("t"),
+            F.explode(F.array(lines)).alias("lines"),  # split once
+        )
         .select(
             "d",
             "t",
-            F.expr("transform(lines, x -> hash(lower(trim(BOTH ' \\t\\r\\n' FROM x))))").alias("h"),
+            F.expr("transform(lines, x -> hash(trim(BOTH ' \\t\\r\\n' FROM x)))").alias("h"),
             F.expr(
-                "transform(lines, x -> length(x) - length(translate(x, ' \\t\\n', ''))"
-                " + int(NOT x RLIKE '[ \\t\\n]$'))"
+                "transform(lines, x -> length(x) - length(replace(x, ' ', ''))"
+                " + int(NOT endswith(x, ' ')))"
             ).alias("n"),
         )
     )
@@ -54,10 +58,17 @@ def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     ``p`` holds the text's hash above the number of the first line. A line that alone has
     ``min_words`` words is always a fingerprint.
     """
+    # exploding an array of one value makes the pair hashes a column: in a plain projection
+    # they would be computed again at every use inside the functions below
     pairs = lines.withColumn(
         "g",
-        F.expr(
-            "transform(slice(h, 2, greatest(size(h) - 1, 0)), (x, i) -> xxhash64(get(h, i), x))"
+        F.explode(
+            F.array(
+                F.expr(
+                    "transform(slice(h, 2, greatest(size(h) - 1, 0)),"
+                    " (x, i) -> xxhash64(get(h, i), x))"
+                )
+            )
         ),
     )
     left, right = "get(g, i - {0})", "get(g, i + {0})"
@@ -139,7 +150,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 f"CASE WHEN step > 0 THEN slice(h, at + 2, {REACH}) ELSE"
                 f" reverse(slice(h, greatest(at - {REACH} + 1, 1), least(at, {REACH}))) END"
             ).alias("near"),
-        )
+        ).distinct()
     )
     grown = stretches
     for name, (d, t, at, step) in ends.items():
@@ -186,21 +197,21 @@ def drop_repeats(
     and text get the same result (neither counts as a repeat of the other); a null id comes
     first; an empty table gives an empty result; all columns keep their names and order.
     """
-    lines = cut(line_table(docs, id_col, text_col).distinct())
+    lines = cut(line_table(docs, id_col, text_col))
     runs = repeated_runs(lines, min_words)
     cuts = cut(
-        runs.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(
-            F.collect_list(F.struct("i", "j")).alias("_cuts")
+        runs.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(
+            F.collect_set(F.struct("i", "j")).alias("__cuts")
         )
     )
     marked = docs.withColumn(
-        "_d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    ).withColumn("_t", F.xxhash64(text_col).bitwiseAND((1 << 35) - 1))
+        "__d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    ).withColumn("__t", F.xxhash64(text_col).bitwiseAND((1 << 35) - 1))
     left = F.expr(
         f"array_join(filter(split(`{text_col}`, r'{LINE_END}'),"
-        " (x, i) -> NOT exists(_cuts, c -> i BETWEEN c.i AND c.j)), '')"
+        " (x, i) -> NOT exists(__cuts, c -> i BETWEEN c.i AND c.j)), '')"
     )
-    kept = marked.join(cuts, ["_d", "_t"], "left").withColumn(
-        text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(left)
+    kept = marked.join(cuts, ["__d", "__t"], "left").withColumn(
+        text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(left)
     )
     return kept.select(*docs.columns)
