@@ -7,7 +7,7 @@ runs above and below the middle symbol, and the correlation of neighbouring symb
 joint p-value is uniform for random tokens and near zero for words, paths and counters.
 
 How large a p-value a secret needs follows from the whole corpus, apart for every encoding
-and length: the upper half of the p-values tells how many tokens are random, and the lowest
+and length: the p-values above ``SURE`` tell how many tokens are random, and the lowest
 threshold is taken at which the share of other tokens above it stays within the false
 discovery rate.
 """
@@ -55,6 +55,8 @@ ENCODINGS = (
 SETS = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in ENCODINGS]
 RATE = 0.1
 BINS = 20
+# bins of p-values, from this one up, that only random tokens fill
+SURE = 4
 NEVER = 2.0
 
 
@@ -195,9 +197,9 @@ def thresholds(found: DataFrame, rate: float = RATE) -> dict[tuple[str, int], fl
         bins.setdefault((r["encoding"], r["length"]), np.zeros(BINS))[r["bin"]] += r["count"]
     out = {}
     for key, counts in bins.items():
-        random = 2 * counts[BINS // 2 :].sum()
+        random = counts[SURE:].sum() / (1 - SURE / BINS)
         out[key] = NEVER
-        for low in range(BINS // 2 + 1):
+        for low in range(SURE + 1):
             kept = counts[low:].sum()
             if kept and (kept - random * (1 - low / BINS)) / kept <= rate:
                 out[key] = max(low / BINS, 0.001)
