@@ -158,6 +158,8 @@ def test_decoding_never_contradicts_an_ancestor():
         p = np.log(rng.dirichlet([0.3] * 3, len(nodes)))
         kept = html_main.decode(nodes, p)
         assert not any(k for n, k in zip(nodes, kept) if n.text is None)
+        inner = [k for n, k in zip(nodes, kept) if n.text is not None][1:3]
+        assert len(kept) == len(nodes) and all(isinstance(bool(k), bool) for k in inner)
 
 
 def test_main_text_of_made_pages_and_edges(spark):
