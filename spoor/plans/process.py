@@ -76,6 +76,103 @@ def benign_exclusion(spark, sf):
     return ops.exclude_benign(view(spark, sf, "proc")).select("case_id", "pid", "excluded_by")
 
 
+# one snapshot per customer: a process for each known-benign rule, some of them spoilt.
+# n, pid, ppid, image, folder, file, session, threads, exited, cmd
+_SNAPSHOT = """
+SELECT CAST(c_custkey AS STRING) AS case_id, CAST(pid + dup * 10000 AS BIGINT) AS pid, CAST(ppid AS BIGINT) AS ppid, image,
+  CASE WHEN n = spoilt AND how = 0 THEN 'd:/x.exe' WHEN file = '' THEN '' ELSE
+    replace(CASE folder WHEN 0 THEN 'C:/Windows/System32/' WHEN 1 THEN 'C:/Windows/System32/wbem/' ELSE 'D:/apps/' END, '/', chr(92)) || file END AS path,
+  n = spoilt AND how = 1 AS wow64, CASE WHEN n = spoilt AND how = 2 THEN 7 ELSE session END AS session,
+  CASE WHEN n = spoilt AND how = 3 THEN 3 ELSE threads END AS threads,
+  CASE WHEN (n = spoilt AND how = 3) <> (gone = 1) THEN '2024-01-01' ELSE '' END AS exit_time,
+  CASE WHEN n = spoilt AND how = 4 THEN 'other' ELSE replace(cmd, '/', CASE WHEN n = 5 THEN chr(92) ELSE '/' END) END AS cmd
+FROM (SELECT c_custkey, c_custkey % 29 AS spoilt, c_custkey % 5 AS how, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 31 ELSE 0 END AS twice FROM {customer}) c
+CROSS JOIN (SELECT * FROM (VALUES
+  (1, 4, 0, 'System', 0, '', NULL, 90, 0, ''), (2, 60, 4, 'MemCompression', 0, '', NULL, 9, 0, ''),
+  (3, 300, 4, 'smss.exe', 0, 'smss.exe', NULL, 2, 0, ''), (4, 310, 300, 'smss.exe', 0, 'smss.exe', 0, 0, 1, ''),
+  (5, 400, 310, 'csrss.exe', 0, 'csrss.exe', 0, 9, 0, '%SystemRoot%/system32/csrss.exe ObjectDirectory=/Windows'),
+  (6, 410, 311, 'csrss.exe', 0, 'csrss.exe', 1, 9, 0, ''), (7, 420, 310, 'wininit.exe', 0, 'wininit.exe', 0, 3, 0, ''),
+  (8, 430, 311, 'winlogon.exe', 0, 'winlogon.exe', 1, 3, 0, ''), (9, 500, 420, 'services.exe', 0, 'services.exe', 0, 9, 0, ''),
+  (10, 510, 420, 'lsass.exe', 0, 'lsass.exe', 0, 9, 0, ''), (11, 600, 500, 'svchost.exe', 0, 'svchost.exe', 0, 9, 0, 'svchost.exe -k DcomLaunch'),
+  (12, 610, 500, 'svchost.exe', 0, 'svchost.exe', 0, 0, 1, ''), (13, 520, 420, 'fontdrvhost.ex', 0, 'fontdrvhost.exe', 0, 5, 0, ''),
+  (14, 530, 430, 'fontdrvhost.ex', 0, 'fontdrvhost.exe', 1, 5, 0, ''), (15, 540, 430, 'dwm.exe', 0, 'dwm.exe', 1, 5, 0, ''),
+  (16, 550, 430, 'LogonUI.exe', 0, 'LogonUI.exe', 1, 5, 0, ''), (17, 620, 500, 'spoolsv.exe', 0, 'spoolsv.exe', 0, 5, 0, ''),
+  (18, 630, 500, 'msdtc.exe', 0, 'msdtc.exe', 0, 5, 0, ''), (19, 640, 500, 'SearchIndexer.', 0, 'SearchIndexer.exe', 0, 5, 0, 'SearchIndexer.exe /Embedding'),
+  (20, 700, 600, 'WmiPrvSE.exe', 1, 'WmiPrvSE.exe', 0, 5, 0, ''), (21, 710, 600, 'unsecapp.exe', 1, 'unsecapp.exe', 0, 5, 0, 'unsecapp.exe -Embedding'),
+  (22, 720, 600, 'dllhost.exe', 0, 'dllhost.exe', 0, 5, 0, 'dllhost.exe /Processid:{{12345678-ABCD-0000-1111-0123456789ab}}'),
+  (23, 730, 720, 'conhost.exe', 0, 'conhost.exe', 0, 5, 0, 'conhost.exe 0x4'), (24, 900, 899, 'explorer.exe', 2, 'explorer.exe', 1, 40, 0, ''),
+  (25, 740, 900, 'conhost.exe', 0, 'conhost.exe', 1, 5, 0, 'conhost.exe 0x4'), (26, 650, 500, 'svchost.exe', 0, 'svchost.exe', 0, 9, 0, 'svchost.exe'),
+  (27, 720001, 600, 'dllhost.exe', 0, 'dllhost.exe', 0, 5, 0, 'dllhost.exe /Processid:x'), (28, 560, 510, 'cmd.exe', 2, 'cmd.exe', 0, 1, 0, ''))
+  v(n, pid, ppid, image, folder, file, session, threads, gone, cmd)) t
+CROSS JOIN (SELECT * FROM (VALUES (0), (1)) w(dup)) d
+WHERE (dup = 0 OR n = twice) AND (n <> 28 OR c_custkey % 4 = 0)
+"""
+
+_FACTS = """
+WITH proc AS (""" + _SNAPSHOT.replace("{customer}", "customer").replace("{{", "{").replace("}}", "}") + """),
+low AS (SELECT *, lower(image) AS im, CASE lower(image) WHEN 'searchindexer.' THEN 'searchindexer.exe' WHEN 'fontdrvhost.ex' THEN 'fontdrvhost.exe'
+  ELSE lower(image) END AS fu, lower(path) AS pa, lower(cmd) AS cm, exit_time = '' AS alive FROM proc),
+b AS (SELECT p.*, q.fu AS pim, q.pa AS ppa, q.cm AS pcm FROM low p LEFT JOIN low q ON q.case_id = p.case_id AND q.pid = p.ppid),
+f AS (SELECT *, count(*) OVER (PARTITION BY case_id, im) AS n_total, count(*) FILTER (alive) OVER (PARTITION BY case_id, im) AS n_alive,
+  count(*) OVER (PARTITION BY case_id, fu, session) AS n_session, count(*) FILTER (alive) OVER (PARTITION BY case_id, fu, session) AS n_session_alive,
+  count(*) OVER (PARTITION BY case_id, fu, ppid) AS n_parent, count(*) FILTER (fu = 'smss.exe' AND pim = 'system') OVER (PARTITION BY case_id) AS n_sys,
+  (SELECT count(*) FROM proc c WHERE c.case_id = b.case_id AND c.ppid = b.pid) AS kids,
+  pa = 'c:' || chr(92) || 'windows' || chr(92) || 'system32' || chr(92) || fu AS sys,
+  pa = 'c:' || chr(92) || 'windows' || chr(92) || 'system32' || chr(92) || 'wbem' || chr(92) || fu AS wbem FROM b)"""
+
+
+@register("benign_exclusion_rules", _FACTS + """
+SELECT case_id, pid, CASE
+  WHEN wow64 THEN NULL
+  WHEN fu = 'system' AND pid = 4 AND ppid = 0 AND pa = '' AND session IS NULL AND n_total = 1 THEN 'system'
+  WHEN fu = 'memcompression' AND ppid = 4 AND pa = '' AND session IS NULL AND n_total = 1 THEN 'memcompression'
+  WHEN fu = 'smss.exe' AND sys AND pim = 'system' AND session IS NULL AND n_sys = 1 THEN 'smss_root'
+  WHEN fu = 'smss.exe' AND sys AND pim = 'smss.exe' AND NOT alive AND threads = 0 THEN 'smss_copy'
+  WHEN fu = 'csrss.exe' AND sys AND coalesce(pim, 'smss.exe') = 'smss.exe' AND (session IS NULL OR n_session <= 1) AND (cm = '' OR
+    (starts_with(cm, '%systemroot%' || chr(92) || 'system32' || chr(92) || 'csrss.exe') AND contains(cm, 'objectdirectory=' || chr(92) || 'windows'))) THEN 'csrss'
+  WHEN fu = 'wininit.exe' AND sys AND coalesce(pim, 'smss.exe') = 'smss.exe' AND session = 0 AND n_alive = 1 THEN 'wininit'
+  WHEN fu = 'winlogon.exe' AND sys AND coalesce(pim, 'smss.exe') = 'smss.exe' AND session >= 1 AND n_session_alive <= 1 THEN 'winlogon'
+  WHEN fu = 'services.exe' AND sys AND pim = 'wininit.exe' AND session = 0 AND n_alive = 1 THEN 'services'
+  WHEN fu = 'lsass.exe' AND sys AND pim = 'wininit.exe' AND session = 0 AND n_alive = 1 AND kids = 0 THEN 'lsass'
+  WHEN fu = 'svchost.exe' AND sys AND pim = 'services.exe' AND session = 0 AND alive AND contains(cm, '-k') THEN 'svchost_alive'
+  WHEN fu = 'svchost.exe' AND sys AND pim = 'services.exe' AND session = 0 AND NOT alive AND threads = 0 THEN 'svchost_exited'
+  WHEN fu = 'fontdrvhost.exe' AND sys AND pim IN ('wininit.exe', 'winlogon.exe') AND n_parent <= 1 THEN 'fontdrvhost'
+  WHEN fu = 'dwm.exe' AND sys AND pim = 'winlogon.exe' AND session >= 1 AND n_session_alive <= 1 THEN 'dwm'
+  WHEN fu = 'logonui.exe' AND sys AND pim = 'winlogon.exe' AND session >= 1 THEN 'logonui'
+  WHEN fu = 'spoolsv.exe' AND sys AND pim = 'services.exe' AND session = 0 AND n_alive = 1 THEN 'spoolsv'
+  WHEN fu = 'msdtc.exe' AND sys AND pim = 'services.exe' AND session = 0 AND n_alive = 1 THEN 'msdtc'
+  WHEN fu = 'searchindexer.exe' AND sys AND pim = 'services.exe' AND session = 0 AND n_alive = 1 AND (cm = '' OR contains(cm, '/embedding')) THEN 'searchindexer'
+  WHEN fu = 'wmiprvse.exe' AND wbem AND pim = 'svchost.exe' AND session = 0 AND (coalesce(pcm, '') = '' OR contains(pcm, 'dcomlaunch')) THEN 'wmiprvse'
+  WHEN fu = 'unsecapp.exe' AND wbem AND pim = 'svchost.exe' AND (cm = '' OR contains(cm, '-embedding')) THEN 'unsecapp'
+  WHEN fu = 'dllhost.exe' AND sys AND pim = 'svchost.exe' AND regexp_matches(cm, '/processid:[{][0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}[}]') THEN 'dllhost'
+  WHEN fu = 'conhost.exe' AND sys AND (cm = '' OR ends_with(cm, '0x4') OR ends_with(cm, '0x0')) AND starts_with(ppa, 'c:' || chr(92) || 'windows') THEN 'conhost'
+  END AS excluded_by FROM f""")
+def benign_exclusion_rules(spark, sf):
+    proc = run_sql(spark, sf, _SNAPSHOT)
+    return ops.exclude_benign(proc).select("case_id", "pid", "excluded_by")
+
+
+@register("instance_counts_all", _FACTS + """
+SELECT 'image' AS kind, case_id, im AS name, NULL::BIGINT AS k, count(*) AS n, count(*) FILTER (alive) AS alive FROM b GROUP BY ALL
+UNION ALL SELECT 'session', case_id, fu, session, count(*), count(*) FILTER (alive) FROM b WHERE session IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'parent', case_id, fu, ppid, count(*), NULL FROM b GROUP BY ALL
+UNION ALL SELECT 'children', case_id, NULL, ppid, count(*), NULL FROM b GROUP BY ALL
+UNION ALL SELECT 'system_child', case_id, NULL, NULL, count(*), NULL FROM b WHERE fu = 'smss.exe' AND pim = 'system' GROUP BY ALL""")
+def instance_counts_all(spark, sf):
+    counts = ops.instance_counts(ops.with_parent(run_sql(spark, sf, _SNAPSHOT)))
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    columns = {
+        "image": ("image_low", none, "n_total", "n_alive"), "session": ("full", F.col("session").cast("bigint"), "n_session", "n_session_alive"),
+        "parent": ("full", "ppid", "n_parent", none), "children": (text, "pid", "children", none),
+        "system_child": (text, none, "n_system_child", none)}
+    out = None
+    for kind, (name, k, n, alive) in columns.items():
+        cell = lambda c: F.col(c) if isinstance(c, str) else c
+        part = counts[kind].select(F.lit(kind).alias("kind"), "case_id", cell(name).alias("name"), cell(k).alias("k"), cell(n).alias("n"), cell(alive).alias("alive"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("process_forest", """
 WITH RECURSIVE t(case_id, pid, root_pid, depth, sort_path) AS (
   SELECT case_id, pid, pid, 0, [pid] FROM proc p WHERE ppid = 0 OR ppid = pid
