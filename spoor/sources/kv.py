@@ -56,10 +56,14 @@ def read_kv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def to_kv_line(record: Column) -> Column:
-    """Record line of a MAP: empty values dropped, values quoted only when they must be."""
-    filled = F.filter(
+    """Record line of a MAP: ``type`` first, empty values dropped, values quoted only when
+    they must be."""
+    given = F.filter(
         F.map_entries(record), lambda e: e["value"].isNotNull() & (e["value"] != "")
     )
+    filled = F.concat(
+        F.filter(given, lambda e: e["key"] == "type"), F.filter(given, lambda e: e["key"] != "type")
+    )
 
     def render(e: Column) -> Column:
         v = e["value"]

@@ -18,10 +18,16 @@ def _named(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*have) if have else F.lit(None).cast("string")
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All-string CSV with a header, quoted multi-line cells allowed."""
+def read_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False
+) -> DataFrame:
+    """All-string CSV with a header.
+
+    Files are split between tasks. ``multi_line`` allows line ends inside quoted cells; a
+    file is then read by one task.
+    """
     return spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=True, escape='"', quote='"'
+        path, header=True, inferSchema=False, multiLine=multi_line, escape='"', quote='"'
     )
 
 

@@ -81,7 +81,7 @@ def process_table(rows: DataFrame, via: str) -> DataFrame:
     return rows.where(pid.rlike("^[0-9]+$")).select(
         "case_id",
         "line_no",
-        pid.cast("bigint").alias("pid"),
+        pid.try_cast("bigint").alias("pid"),
         F.coalesce(_int("PPID"), F.lit(0)).cast("bigint").alias("ppid"),
         _text("ImageFileName").alias("image"),
         (clean_path(_text("Path")) if full else F.lit("")).alias("path"),
@@ -99,7 +99,7 @@ def process_table(rows: DataFrame, via: str) -> DataFrame:
 def _child(rows: DataFrame, columns: dict[str, Column], keep: Column) -> DataFrame:
     pid = _text("PID")
     return rows.where(pid.rlike("^[0-9]+$")).select(
-        "case_id", "line_no", pid.cast("bigint").alias("pid"),
+        "case_id", "line_no", pid.try_cast("bigint").alias("pid"),
         *[c.alias(n) for n, c in columns.items()],
     ).where(keep)
 

@@ -67,13 +67,18 @@ def test_paths_with_orphans_and_cycles(spark):
                    3: "<orphan>\\y\\tail", 30: "<no-fn>", 31: "<orphan>\\e"}
 
 
-def test_packing_ways_agree(spark):
+def test_packing_matches_a_plain_fold(spark):
     df = spark.range(300).select(
         F.lit("c").alias("case_id"), F.col("id").alias("root_start"), F.col("id").alias("root_pid"),
         F.when(F.col("id") % 37 == 0, 200).otherwise(1 + (F.col("id") * 7919) % 60).alias("tokens"))
-    fold = {r.root_pid: r.chunk for r in process.pack_chunks(df, 100).collect()}
-    jump = {r.root_pid: r.chunk for r in process.pack_chunks(df, 100, fold_limit=10).collect()}
-    assert fold == jump and len(fold) == 300
+    want, chunk, fill, solo = {}, 0, 0, True
+    for r in sorted(df.collect(), key=lambda r: r.root_start):
+        over = r.tokens > 100
+        if solo or over or fill + r.tokens > 100:
+            chunk, fill = chunk + 1, 0
+        fill, solo = fill + r.tokens, over
+        want[r.root_pid] = chunk
+    assert {r.root_pid: r.chunk for r in process.pack_chunks(df, 100).collect()} == want
 
 
 def test_search_against_brute_force(spark, monkeypatch):
