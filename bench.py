@@ -16,7 +16,7 @@ HEADLINE = [
     "event_summary", "burst_then_success", "publisher_whitelist", "file_scores", "file_stats",
     "top_files", "in_attack_window", "creation_clusters", "renamed_hashes", "benign_exclusion",
     "merge_connections", "graph_nodes", "report_summary", "trace_index", "replay", "cost_rollup",
-    "pivot_search",
+    "pivot_search", "process_forest", "file_paths", "pack_chunks", "entity_lookup", "text_entropy",
 ]
 
 
@@ -29,9 +29,10 @@ def main() -> None:
     ).save()
     seconds = {}
     for name in HEADLINE:
-        start = time.perf_counter()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        for _ in range(2):  # the second run counts, when its code is compiled
+            start = time.perf_counter()
+            registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
