@@ -222,6 +222,33 @@ def entity_lookup(spark, sf):
     return _evidence(spark, sf).select("query_id", "source_file", "line_no", "rank")
 
 
+_MEMORY_QUERIES = """SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'pid' WHEN 1 THEN 'image_name' ELSE 'mutex' END AS entity_type,
+  CASE s_suppkey % 3 WHEN 1 THEN 'p' || CAST(s_suppkey AS STRING) || '.exe' ELSE CAST(s_suppkey AS STRING) END AS entity_value FROM {supplier}"""
+
+
+@register("entity_lookup_memory", "WITH q AS (" + _MEMORY_QUERIES.replace("{supplier}", "supplier") + "),\nnames AS (SELECT [" + ", ".join(f"'{f}'" for f in rules.MEMORY_PID_FILES) + """] AS n),
+l AS (SELECT n[l_linenumber] AS source_file, l_linenumber - 1 AS fr, l_orderkey AS line_no, l_suppkey AS s, l_partkey AS p FROM (
+  SELECT l_linenumber, l_orderkey, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), names),
+h AS (SELECT query_id, l.* FROM q JOIN l ON entity_type = 'pid' AND CAST(s AS VARCHAR) = entity_value
+  UNION SELECT query_id, l.* FROM q JOIN l ON entity_type = 'image_name' AND 'p' || p || '.exe' = entity_value
+    AND source_file IN ('pslist.txt', 'pstree.txt', 'cmdline.txt', 'psscan.txt')),
+o AS (SELECT *, CASE WHEN entity_type = 'pid' THEN fr ELSE list_position(['pslist.txt', 'pstree.txt', 'cmdline.txt', 'psscan.txt'], source_file) - 1 END AS k
+  FROM h JOIN q USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k, line_no) AS rank FROM o)
+SELECT query_id, source_file, line_no, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""")
+def entity_lookup_memory(spark, sf):
+    names = F.array(*[F.lit(f) for f in rules.MEMORY_PID_FILES])
+    items = load(spark, sf, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(
+        F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    lines = items.select(
+        F.get(names, F.col("l_linenumber") - 1).alias("source_file"), F.col("l_orderkey").alias("line_no"),
+        F.concat(F.lit("PID="), F.col("s").cast("string"), F.lit(" x"), F.col("s").cast("string"), F.lit(" C:\\a\\p"),
+                 F.col("p").cast("string"), F.lit(".exe xp"), F.col("p").cast("string"), F.lit(".exe")).alias("content"))
+    allowed = ops.type_files(spark, rules.MEMORY_TYPE_FILES)
+    found = ops.entity_lookup(run_sql(spark, sf, _MEMORY_QUERIES), lines, allowed, 50, "memory")
+    return found.select("query_id", "source_file", "line_no", "rank")
+
+
 _ANSWER = f"""
 WITH {_FOUND},
 n AS (SELECT query_id, count(*) AS n, bool_or({_BLOCK}) AS blocked FROM ev GROUP BY ALL),
