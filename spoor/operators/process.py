@@ -16,7 +16,7 @@ from spoor.functions import (
     notable_privs,
 
 )
-from spoor.scale import first_per_key, ordinal, running_sum
+from spoor.scale import small_side, first_per_key, ordinal, running_sum
 from spoor.session import durable
 
 KEY = ["case_id", "pid"]
@@ -250,13 +250,12 @@ def _condition(r: Benign) -> Column:
 def exclude_benign(proc: DataFrame) -> DataFrame:
     """Adds ``excluded_by``: the first known-benign rule a process meets, else null.
 
-    One parent join, four small pre-aggregations and one projection; the counts are
-    taken before anything is excluded. Only processes whose name a rule knows take
-    part in the count joins.
+    Only processes whose name a rule knows are looked at after the parent join, and the
+    counts, taken before anything is excluded, are of those names alone. Counts of a whole
+    case or image, one row each, are broadcast when they are measured to be small, so that
+    a large case does not gather in one task.
     """
-    related = with_parent(proc)
-    counts = instance_counts(related)
-    named = related.withColumns(
+    named = with_parent(proc).withColumns(
         {
             "image_low": F.lower("image"),
             "full": _full_name(F.lower("image")),
@@ -266,13 +265,17 @@ def exclude_benign(proc: DataFrame) -> DataFrame:
         }
     )
     images = sorted({r.image for r in BENIGN_RULES})
-    watched = named.where(F.col("full").isin(images))
+    watched = durable(named.where(F.col("full").isin(images)))
+    counts = instance_counts(watched)
+    children = proc.groupBy("case_id", F.col("ppid").alias("pid")).agg(
+        F.count(F.lit(1)).alias("children")
+    )
     facts = (
-        watched.join(counts["image"], ["case_id", "image_low"], "left")
+        watched.join(small_side(counts["image"]), ["case_id", "image_low"], "left")
         .join(counts["session"], ["case_id", "full", "session"], "left")
         .join(counts["parent"], ["case_id", "full", "ppid"], "left")
-        .join(counts["children"], ["case_id", "pid"], "left")
-        .join(counts["system_child"], ["case_id"], "left")
+        .join(children, ["case_id", "pid"], "left")
+        .join(small_side(counts["system_child"]), ["case_id"], "left")
         .withColumn("children", F.coalesce("children", F.lit(0)))
     )
     first = None
