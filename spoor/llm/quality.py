@@ -116,7 +116,8 @@ def fit(
 ) -> Model:
     """Train on at most ``rows`` labelled texts of at most ``chars`` characters together.
 
-    Rows without text or label, and ids whose labels disagree, are left out.
+    Rows without text or label, and ids whose labels disagree, are left out. One task holds
+    the bounded sample and trains; the driver gets the weights, which are of fixed size.
     """
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -125,24 +126,39 @@ def fit(
         .where("y = z")
         .select("id", "y")
     )
-    given = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where(F.col("text").isNotNull())
+    given = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
+    ).where(F.col("text").isNotNull())
+    # the choice moves ids and lengths only; the chosen rows, bounded by ``rows``, are broadcast
+    sizes = (
+        given.select("id", "t", F.length("text").alias("n"))
         .join(known, "id")
-        .withColumn("at", F.xxhash64("id", "text"))
+        .withColumn("at", F.xxhash64("id", "t"))
+        .orderBy("at")
+        .limit(rows)
+        .collect()
     )
-    sizes = given.select("at", F.length("text").alias("n")).orderBy("at").limit(rows).collect()
-    last, total = None, 0
+    chosen, total = {}, 0
     for r in sizes:
         total += r["n"]
         if total > chars:
             break
-        last = r["at"]
-    if last is None:
+        chosen[r["id"], r["t"]] = (r["at"], r["y"])
+    if not chosen:
         return train([], [])
-    sample = given.where(F.col("at") <= last).select("at", "text", "y").toPandas()
-    sample = sample.sort_values("at")
-    return train(sample["text"].tolist(), sample["y"].tolist())
+    keys = docs.sparkSession.createDataFrame(
+        [(i, t, at, y) for (i, t), (at, y) in chosen.items()], "id long, t long, at long, y int"
+    )
+    sample = given.join(F.broadcast(keys), ["id", "t"]).dropDuplicates(["id", "t"])
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(batches)).sort_values("at")
+        model = train(whole["text"].tolist(), whole["y"].tolist())
+        yield pd.DataFrame({"pull": [model.pull.tobytes()], "bias": [model.bias]})
+
+    sample = sample.select("at", "text", "y").repartition(1)
+    found = sample.mapInPandas(trained, "pull binary, bias double").first()
+    return Model(np.frombuffer(found["pull"], np.float32), found["bias"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
