@@ -127,3 +127,19 @@ def test_wide_prints_of_similar_texts_are_near():
         bits = sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(x, y))
         assert (bits <= simhash.WIDE_RADIUS) or jaccard(a, b) < 0.85
         assert sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(x, simhash.fingerprint_wide(prose(150, r)))) > 100
+
+
+def test_one_of_each_matches_brute_force_similarity(docs_of):
+    r = random.Random(21)
+    rows = []
+    for g in range(150):
+        base = prose(320, r)
+        words = base.split(" ")
+        # 3 to 11 single words replaced, far apart: similarity about 0.91 to 0.70
+        for i in r.sample(range(8, 312, 8), 3 + g % 9):
+            words[i] = "changed" + str(i)
+        rows += [(2 * g, base), (2 * g + 1, " ".join(words))]
+    near = [jaccard(rows[2 * g][1], rows[2 * g + 1][1]) >= 0.8 for g in range(150)]
+    assert 40 < sum(near) < 110
+    kept = {x["doc_id"] for x in simhash.one_of_each(docs_of(rows)).collect()}
+    assert kept == {2 * g for g in range(150)} | {2 * g + 1 for g in range(150) if not near[g]}
