@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and tokens that a battery of randomness tests accepts.
 
 A token is a run of 20 or more letters, digits and marks that keys are written with. Its
-encoding is the smallest alphabet that explains it. Under that alphabet three tests ask
+encoding is the smallest alphabet that explains it; a run that none explains, such as a path
+before a key, is read in parts. Under that alphabet three tests ask
 whether it could be drawn at random: chi-squared uniformity of the symbols, the number of
 runs above and below the middle symbol, and the correlation of neighbouring symbols. Their
 joint p-value is uniform for random tokens and near zero for words, paths and counters.
@@ -35,9 +36,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 TOKEN_LENGTH = 20
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# "=" is trailing padding only: before more of these characters it ends a name
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 TOKEN_BYTE = np.zeros(256, bool)
-TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
+TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
+PART, URL_SAFE = re.compile(r"[^/_-]+"), re.compile(r"[^_-]+")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # alphabets, the narrower first
@@ -133,20 +136,37 @@ def p_value(symbols: list[int], size: int) -> float:
     return 1 - (1 - min(uniform, even, serial)) ** 3
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of what is tested in a run that no alphabet explains.
+
+    Its parts between "/", "_" and "-" that are long enough; what lies between them is cut
+    at "_" and "-" only, so that a key with a "/" inside stays whole.
+    """
+    long = [m.span() for m in PART.finditer(run) if len(m.group().rstrip("=")) >= TOKEN_LENGTH]
+    out, at = list(long), 0
+    for start, end in [*long, (len(run), len(run))]:
+        out += [(at + m.start(), at + m.end()) for m in URL_SAFE.finditer(run[at:start])]
+        at = end
+    return sorted(out)
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, float]]:
     """Tokens outside the base spans: start, end, encoding, length class, p-value."""
     found = []
     if not has_token(text):
         return found
     taken = sorted(base)
+    free = lambda start, end: not any(s < end and start < e for s, e, _ in taken)
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
-        read = encoding(m.group())
-        if read:
-            size = len(dict(SETS)[read[0]])
-            n = len(read[1])
-            found.append((m.start(), m.end(), read[0], n.bit_length() * 2 + (n >> (n.bit_length() - 2) & 1), p_value(read[1], size)))
+        spans = [m.span()]
+        if not free(*m.span()) or not encoding(m.group()):
+            spans = [(m.start() + a, m.start() + b) for a, b in parts(m.group())]
+        for start, end in spans:
+            read = encoding(text[start:end]) if free(start, end) else None
+            if read:
+                size = len(dict(SETS)[read[0]])
+                n = len(read[1])
+                found.append((start, end, read[0], n.bit_length() * 2 + (n >> (n.bit_length() - 2) & 1), p_value(read[1], size)))
     return found
 
 

@@ -46,6 +46,18 @@ def test_random_tokens_are_found_and_words_are_not(docs_of):
     assert not any(s.startswith("random") for i in plain for s in got[i])
 
 
+def test_keys_after_names_and_paths_are_found(docs_of):
+    heads = ["AWS_SECRET_ACCESS_KEY=", "https://h.com/x?sig=", "https://h.com/api_v1/", "see a-b/c_d/"]
+    rows = [(i, heads[i % 4] + "".join(R.choice(ALNUM) for _ in range(40)) + " after") for i in range(120)]
+    got = dict(spans_of(docs_of(rows)))
+    for k, head in enumerate(heads):
+        assert sum(f"random:{len(head)}:{len(head) + 40}" in got[i] for i in range(k, 120, 4)) >= 24
+    run = "/api_v1/wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert [run[a:b] for a, b in secret_scan.parts(run)] == ["/api", "v1/wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    key = base64.b64encode(R.randbytes(34)).decode()
+    assert [(s, e) for s, e, *_ in secret_scan.tokens(f"sig={key}", [])] == [(4, 4 + len(key))]
+
+
 def test_random_spans_leave_base_spans(docs_of):
     got = dict(spans_of(docs_of([(1, "token=" + "".join(R.choice(ALNUM) for _ in range(40)))])))
     assert got == {1: ["assign:0:46"]}
