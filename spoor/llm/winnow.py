@@ -1,11 +1,11 @@
-"""Repeated passages by winnowing over line hashes, with DataFrame operations only.
-
-A text is cut into lines: at line ends, and inside long paragraphs after a punctuation mark
-with a space. Every pair of neighbouring lines is hashed; of each window of pair hashes the
-least one (the last of equals) becomes a fingerprint, so any repeated run of
-``WINDOW + 1`` lines shares one. Fingerprints met before are joined to their first
-position, matches are extended line by line both ways, and runs that are long enough are
-deleted wherever they come later.
+"""Repeated passages by winnowing over word hashes, with DataFrame operations only.
+
+A text is cut into words: at white space, and around every character of scripts that are
+written without it. Every ``GRAM`` neighbouring words are hashed; of each window of such
+hashes the least one (the first of equals) becomes a fingerprint, so any repeated run of
+``WINDOW + GRAM - 1`` words, wherever it begins, shares one. Fingerprints met before are
+joined to their first position, matches are extended word by word both ways, and runs that
+are long enough are deleted wherever they come later.
 """
 
 from __future__ import annotations
@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import cut
 
-LINE_END = r"(?<=[.,;:!?|][ \t])|(?<=\n)"  # fixed width before the cut, so texts rejoin whole
-WINDOW = 3
-# words that a repeated run needs to be deleted
+SPACE = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Thai to Myanmar, Khmer, kana, ideographs
+SINGLE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
+INNER = rf"(?<=[{SINGLE}])(?=[^{SPACE}])|(?<=[^{SPACE}])(?=[{SINGLE}])"
+BETWEEN = rf"[{SPACE}]+|{INNER}"
+# before each word, so that texts rejoin whole; as many pieces as between
+WORD_END = rf"(?<=[{SPACE}])(?=[^{SPACE}])|{INNER}"
+# words of a fingerprint, and fingerprints of which one is taken: gapless in a match
+GRAM, WINDOW = 16, 15
+# words that a repeated run needs to be deleted: no more than WINDOW + GRAM - 1
 MIN_WORDS = 30
 # how far a match can go beyond its outermost fingerprint without containing another one
 REACH = WINDOW - 1
@@ -26,9 +33,11 @@ POSITION_BITS = 28
 NO_ID = -(1 << 63)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(d, t, h, n)`` per text: id, hash of the text, and of its lines the hashes and words."""
-    lines = F.split(F.lower("text"), LINE_END)
+def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(d, t, h)`` per text: id, hash of the text and the hashes of its words."""
+    low = F.lower("text")
+    # most texts have no such script: their pieces are the same by the shorter pattern
+    pieces = F.when(low.rlike(f"[{SINGLE}]"), F.split(low, BETWEEN)).otherwise(F.split(low, f"[{SPACE}]+"))
     return (
         docs.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
@@ -38,69 +47,57 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select(
             "d",
             F.xxhash64("text").bitwiseAND((1 << 35) - 1).alias("t"),
-            F.explode(F.array(lines)).alias("lines"),  # split once
-        )
-        .select(
-            "d",
-            "t",
-            F.expr("transform(lines, x -> hash(trim(BOTH ' \\t\\r\\n' FROM x)))").alias("h"),
-            F.expr(
-                "transform(lines, x -> length(x) - length(replace(x, ' ', ''))"
-                " + int(NOT endswith(x, ' ')))"
-            ).alias("n"),
+            F.explode(F.array(pieces)).alias("w"),  # split once
         )
+        # white space at the end leaves an empty piece
+        .withColumn("w", F.expr("CASE WHEN element_at(w, -1) = '' THEN slice(w, 1, size(w) - 1) ELSE w END"))
+        .select("d", "t", F.explode(F.array(F.expr("transform(w, x -> hash(x))"))).alias("h"))
     )
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """``(g, d, p, k)``: hash, document, position and number of lines of each fingerprint.
+def fingerprints(words: DataFrame) -> DataFrame:
+    """``(g, d, p, k, q)``: hash, document, position and number of words of each fingerprint.
 
-    ``p`` holds the text's hash above the number of the first line. A line that alone has
-    ``min_words`` words is always a fingerprint.
+    ``p`` holds the text's hash above the number of the first word; ``q`` tells if all words
+    are the same one.
     """
-    # exploding an array of one value makes the pair hashes a column: in a plain projection
-    # they would be computed again at every use inside the functions below
-    pairs = lines.withColumn(
-        "g",
-        F.explode(
-            F.array(
-                F.expr(
-                    "transform(slice(h, 2, greatest(size(h) - 1, 0)),"
-                    " (x, i) -> xxhash64(get(h, i), x))"
-                )
-            )
-        ),
+    # exploding an array of one value makes each step a column: in a plain projection the
+    # steps before would be computed again at every use
+    once = lambda df, step: df.select("d", "t", "h", F.explode(F.array(F.expr(step))).alias("m"))
+    out = words.where(F.size("h") >= GRAM).withColumn("m", F.col("h"))
+    for j in (1, 2, 4, 8):
+        out = once(out, f"transform(m, (x, i) -> hash(x, get(m, i + {j})))")
+    # the hash of a whole gram above its position
+    out = once(
+        out, f"transform(slice(m, 1, size(m) - {GRAM - 1}), (x, i) -> shiftleft(CAST(x AS BIGINT), 31) + i)"
     )
-    left, right = "get(g, i - {0})", "get(g, i + {0})"
-    tests = []
-    for back in range(WINDOW):
-        before = [f"coalesce(x <= {left.format(j)}, true)" for j in range(1, back + 1)]
-        after = [f"coalesce(x < {right.format(j)}, true)" for j in range(1, WINDOW - back)]
-        tests.append("(" + " AND ".join(before + after) + ")")
-    least = " OR ".join(tests)
-    chosen = pairs.select(
+    for j in (1, 2, 4, 7):
+        out = once(out, f"transform(m, (x, i) -> least(x, get(m, i + {j})))")
+    out = once(out, f"array_distinct(slice(m, 1, greatest(size(m) - {WINDOW - 1}, 1)))")
+    chosen = out.select(
         "d",
         "t",
-        F.expr(
-            "concat(filter(transform(g, (x, i) -> struct(CASE WHEN "
-            + least
-            + " THEN x END AS g, i AS i, 2 AS k)), s -> s.g IS NOT NULL),"
-            f" filter(transform(h, (x, i) -> struct(CASE WHEN get(n, i) >= {min_words}"
-            " THEN xxhash64(x, 'line') END AS g, i AS i, 1 AS k)), s -> s.g IS NOT NULL))"
+        F.explode(
+            F.expr(
+                "transform(m, x -> struct(CAST(x & 2147483647 AS INT) AS i,"
+                f" slice(h, CAST(x & 2147483647 AS INT) + 1, {GRAM}) AS s))"
+            )
         ).alias("f"),
     )
     place = F.shiftleft("t", POSITION_BITS).bitwiseOR(F.col("f.i").cast("long"))
-    return chosen.select("d", "t", F.explode("f").alias("f")).select(
-        "f.g", "d", place.alias("p"), F.col("f.k").cast("byte").alias("k")
+    return chosen.select(
+        F.xxhash64("f.s").alias("g"), "d", place.alias("p"), F.lit(GRAM).cast("byte").alias("k"),
+        (F.array_min("f.s") == F.array_max("f.s")).alias("q"),
     )
 
 
-def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(d, t, i, j)``: runs of lines ``i`` to ``j`` that also stand at an earlier place.
+def repeated_runs(words: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(d, t, i, j)``: runs of words ``i`` to ``j`` that also stand at an earlier place.
 
-    Places are ordered by document id, then by text, then by line.
+    Places are ordered by document id, then by text, then by word. One word over and over is
+    no repeat of its own text.
     """
-    prints = fingerprints(lines, min_words)
+    prints = cut(fingerprints(words))
     first = (
         prints.groupBy("g")
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "p")).alias("first"))
@@ -108,13 +105,15 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("g", F.col("first.d").alias("sd"), F.col("first.p").alias("sp"))
     )
     text_of = lambda c: F.shiftright(c, POSITION_BITS)
-    line_of = lambda c: F.col(c).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
-    seeds = prints.join(first, "g").where((F.col("d") != F.col("sd")) | (F.col("p") != F.col("sp")))
+    word_of = lambda c: F.col(c).bitwiseAND((1 << POSITION_BITS) - 1).cast("int")
+    apart = (F.col("d") != F.col("sd")) | (F.col("p") != F.col("sp"))
+    own = (F.col("d") == F.col("sd")) & (text_of("p") == text_of("sp"))
+    seeds = prints.join(first, "g").where(apart & ~(own & F.col("q")))
     seeds = seeds.select(
-        "d", text_of("p").alias("t"), line_of("p").alias("i"), "k",
-        "sd", text_of("sp").alias("st"), line_of("sp").alias("si"),
+        "d", text_of("p").alias("t"), word_of("p").alias("i"), "k",
+        "sd", text_of("sp").alias("st"), word_of("sp").alias("si"),
     )
-    # stretches of lines that seeds cover without a gap
+    # stretches of words that seeds cover without a gap
     before = Window.partitionBy("d", "t").orderBy("i", "k").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("d", "t").orderBy("i", "k").rowsBetween(Window.unboundedPreceding, 0)
     stretches = (
@@ -131,7 +130,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         )
     )
     stretches = cut(stretches.drop("run"))
-    # extension: up to REACH lines just outside, here and at the first place
+    # extension: up to REACH words just outside, here and at the first place
     ends = {
         "ob": (F.col("d"), F.col("t"), F.col("i"), -1),
         "oa": (F.col("d"), F.col("t"), F.col("j"), 1),
@@ -144,7 +143,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ]
     places = places[0].union(places[1]).union(places[2]).union(places[3]).distinct()
     near = cut(
-        lines.join(places, ["d", "t"]).select(
+        words.join(places, ["d", "t"]).select(
             "d", "t", "at", "step",
             F.expr(
                 f"CASE WHEN step > 0 THEN slice(h, at + 2, {REACH}) ELSE"
@@ -180,10 +179,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy("d", "t", "run")
         .agg(F.min("i").alias("i"), F.max("j").alias("j"))
     )
-    counted = runs.join(lines.select("d", "t", "n"), ["d", "t"]).withColumn(
-        "words", F.expr("aggregate(slice(n, i + 1, j - i + 1), 0L, (s, x) -> s + x)")
-    )
-    return counted.where(F.col("words") >= min_words).select("d", "t", "i", "j")
+    return runs.where(F.col("j") - F.col("i") + 1 >= min_words).select("d", "t", "i", "j")
 
 
 def drop_repeats(
@@ -191,14 +187,12 @@ def drop_repeats(
 ) -> DataFrame:
     """``docs`` with later repeated runs of at least ``min_words`` words cut out of the text.
 
-    Every row stays; a text that is one whole repeat becomes empty. Lines compare without
-    outer white space and without case. The first place, by id, then text, then line, keeps
-    the run. Defined results: null and empty texts stay as they are; rows with the same id
+    Every row stays; a text that is one whole repeat becomes empty. Words compare without
+    white space and without case. The first place, by id, then text, then word, keeps the run. Defined results: null and empty texts stay as they are; rows with the same id
     and text get the same result (neither counts as a repeat of the other); a null id comes
     first; an empty table gives an empty result; all columns keep their names and order.
     """
-    lines = cut(line_table(docs, id_col, text_col))
-    runs = repeated_runs(lines, min_words)
+    runs = repeated_runs(word_table(docs, id_col, text_col), min_words)
     cuts = cut(
         runs.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(
             F.collect_set(F.struct("i", "j")).alias("__cuts")
@@ -208,7 +202,7 @@ def drop_repeats(
         "__d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     ).withColumn("__t", F.xxhash64(text_col).bitwiseAND((1 << 35) - 1))
     left = F.expr(
-        f"array_join(filter(split(`{text_col}`, r'{LINE_END}'),"
+        f"array_join(filter(split(`{text_col}`, r'{WORD_END}'),"
         " (x, i) -> NOT exists(__cuts, c -> i BETWEEN c.i AND c.j)), '')"
     )
     kept = marked.join(cuts, ["__d", "__t"], "left").withColumn(

@@ -71,3 +71,33 @@ def test_no_python_in_the_plan(docs_of):
     df = winnow.drop_repeats(docs_of([(1, prose(50))]))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_passages_at_any_offset_go(docs_of):
+    r = random.Random(4)
+    plain = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        text = prose(400) if i % 2 else plain(400)
+        words, n = text.split(), 30 + i % 61
+        at = r.randrange(len(words) - n)
+        passage = " ".join(words[at : at + n])
+        before, after = plain(r.randint(0, 40)), plain(r.randint(0, 40))
+        rows += [(i, text), (1000 + i, f"{before} {passage} {after}")]
+        want[1000 + i] = (before + " " + after).split()
+    got = result(docs_of(rows))
+    assert all(got[i] == text for i, text in rows if i < 1000)
+    for i, words in want.items():
+        # a neighbour may be the same word by chance
+        left = got[i].split()
+        assert len(words) - 2 <= len(left) <= len(words) and set(left) <= set(words)
+
+
+def test_passages_without_blanks_go(docs_of):
+    r = random.Random(6)
+    signs = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passage = signs(60)
+    a, b = signs(50) + passage + signs(40), [signs(33), signs(21)]
+    got = result(docs_of([(1, a), (2, b[0] + passage + b[1]), (3, "  " + b[0] + "\u3000" + passage)]))
+    assert got[1] == a and got[2] == b[0] + b[1]
+    assert got[3].strip() in ("", b[0])
