@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import decontam, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash, url_filter, winnow
-from spoor.llm.common import held_out, table
+from spoor.llm import (
+    decontam, fim_frames, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash, url_filter, winnow,
+)
+from spoor.llm.common import held_out, stored, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +101,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = stored(fim_frames.frames(table(spark, sf_dir, "documents")))
+    return fim_frames.restore(fim_frames.transform(store)).select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_graph_ann, op3_main_text, op4_quality, op5_line_dedup, op6_language,
-        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets,
+        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets, op13_fim_frames,
     )
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES["op13_fim_frames"] = fim_frames.ORACLE
