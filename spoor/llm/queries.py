@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import (
-    decontam, fim_frames, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash, url_filter, winnow,
+    decontam, fim_frames, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash,
+    url_filter, warc, winnow,
 )
 from spoor.llm.common import held_out, stored, table
 
@@ -101,6 +102,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    return warc.payloads(warc.read(spark, path, data=False)).select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op13_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = stored(fim_frames.frames(table(spark, sf_dir, "documents")))
     return fim_frames.restore(fim_frames.transform(store)).select(
@@ -112,8 +121,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_graph_ann, op3_main_text, op4_quality, op5_line_dedup, op6_language,
-        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets, op13_fim_frames,
+        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets, op12_warc, op13_fim_frames,
     )
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE}
-ORACLES["op13_fim_frames"] = fim_frames.ORACLE
+ORACLES |= {"op12_warc": warc.ORACLE, "op13_fim_frames": fim_frames.ORACLE}
