@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import (
-    decontam, fim_frames, graph_ann, html_main, langid, mixing, quality, secret_scan, simhash,
+    decontam, fim_frames, graph_ann, html_main, langid, lexical, mixing, quality, secret_scan, simhash,
     url_filter, warc, winnow,
 )
 from spoor.llm.common import held_out, stored, table
@@ -102,6 +102,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
     return warc.payloads(warc.read(spark, path, data=False)).select(
@@ -121,8 +126,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_graph_ann, op3_main_text, op4_quality, op5_line_dedup, op6_language,
-        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets, op12_warc, op13_fim_frames,
+        op7_decontamination, op8_url_filter, op9_mixing, op10_secrets, op11_lexical, op12_warc,
+        op13_fim_frames,
     )
 }
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE}
-ORACLES |= {"op12_warc": warc.ORACLE, "op13_fim_frames": fim_frames.ORACLE}
+ORACLES |= {"op11_lexical": lexical.ORACLE, "op12_warc": warc.ORACLE, "op13_fim_frames": fim_frames.ORACLE}
