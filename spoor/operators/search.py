@@ -1,10 +1,10 @@
 """Many keys against many lines: exact text search as equality joins.
 
-A key is reduced to an *anchor*, a piece that every matching line must contain as
-a whole word (its longest such word), or a three-letter piece where no word is
-certain. Lines are exploded into their distinct words, met with the anchors by an
-equality join, and only those candidates are checked with the exact predicate. The
-work grows with the text, not with text times keys.
+A key is reduced to its rarest piece: the words of a key, whole or in part, are looked
+up in the table of the distinct words of the text, with the lines that have each, and
+the piece with the fewest lines becomes the *anchor*. Lines are exploded into their
+distinct words, met with the anchors by an equality join, and only those candidates are
+checked with the exact predicate. The work grows with the text, not with text times keys.
 """
 
 from __future__ import annotations
@@ -13,16 +13,21 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spoor import rules
 from spoor.functions import base_name, first_iso, key_class
 from spoor.functions.text import IPV4
 from spoor.operators.filters import trivially_benign
 from spoor.scale import capped_rank, fits, small_side
+from spoor.session import durable
 
-WORDS = r"(?U)\w+"
+# runs of \w in small letters; the plain ranges come first because they are tested first
+WORDS = r"(?U)[a-z0-9_[[^\x00-\x7f]&&[\w]]]+"
 GRAM = 3
+SYMBOL = "\x00"  # stands before a piece made of symbols, never in a word
 LINE = ["source_file", "line_no"]
+ANCHOR_ROWS = 1_000_000  # short rows: their bytes are bounded as those of any other side
 # what may tell lines of the same name and number apart
 OWNERS = ["case_id", "path"]
 
@@ -76,20 +81,142 @@ def search_keys(findings: DataFrame) -> DataFrame:
 
 
 def anchored(keys: DataFrame, term: str, how: Column) -> DataFrame:
-    """Adds ``_low``, ``_how`` (word, substring or delimited), ``_kind`` and ``_anchor``."""
-    low = F.lower(F.col(term))
-    edge_free = F.when(
-        how == "substring",
-        # a word at either end of a substring may continue in the line
-        F.regexp_replace(low, r"(?U)^\w+|\w+$", ""),
-    ).otherwise(low)
-    words = F.regexp_extract_all(edge_free, F.lit(WORDS), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    return keys.withColumns({"_low": low, "_how": how}).withColumns(
-        {
-            "_kind": F.when(longest.isNotNull(), "word").otherwise("gram"),
-            "_anchor": F.coalesce(longest, F.substring(low, 1, GRAM)),
-        }
+    """Adds ``_low``, the term in small letters, and ``_how`` (word, substring or delimited)."""
+    return keys.withColumns({"_low": F.lower(F.col(term)), "_how": how})
+
+
+def key_pieces(needles: DataFrame) -> DataFrame:
+    """``(_low, _how, piece, fit)``: what every line that matches a key must contain.
+
+    ``fit`` tells how a piece lies in a word of the line: it is the ``whole`` word, its ``end``
+    or ``start`` at the edges of a substring, or ``inside`` it. A key without word characters
+    gives its pieces of up to GRAM symbols, behind a mark.
+    """
+    low = F.col("_low")
+    runs = F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
+    last = F.size(runs) - 1
+    open_left = (F.col("_how") == "substring") & low.rlike(r"(?U)\A\w")
+    open_right = (F.col("_how") == "substring") & low.rlike(r"(?U)\w\z")
+    left, right = (F.col("_i") == 0) & open_left, (F.col("_i") == last) & open_right
+    grams = F.expr(f"transform(sequence(1, greatest(1, length(_low) - {GRAM - 1})), i -> substring(_low, i, {GRAM}))")
+    words = needles.select("_low", "_how", F.posexplode(runs).alias("_i", "piece")).select(
+        "_low", "_how", "piece",
+        F.when(left & right, "inside").when(left, "end").when(right, "start").otherwise("whole").alias("fit"),
+    )
+    symbols = needles.where((F.size(runs) == 0) & (low != "")).select(
+        "_low", "_how", F.explode(F.array_distinct(grams)).alias("piece")
+    ).select("_low", "_how", F.concat(F.lit(SYMBOL), "piece").alias("piece"), F.lit("whole").alias("fit"))
+    return words.unionByName(symbols).distinct()
+
+
+def _line_pieces(symbol_sizes: Sequence[int]) -> Column:
+    """The distinct words of a line, and its runs of symbols of some sizes behind their mark."""
+    low = F.lower(F.col("content"))
+    found = [F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))]
+    for size in symbol_sizes:
+        runs = F.regexp_extract_all(low, F.lit(f"(?sU)(?=(\\W{{{size}}}))"), F.lit(1))
+        found.append(F.transform(runs, lambda r: F.concat(F.lit(SYMBOL), r)))
+    return F.array_distinct(F.concat(*found))
+
+
+def _word_parts(word: Column, fit: str, size: int) -> Column:
+    """``(fit, gram)`` structs of a word that is at least ``size`` long, else none."""
+    if fit == "start":
+        grams = F.array(F.substring(word, 1, size))
+    elif fit == "end":
+        grams = F.array(F.right(word, F.lit(size)))
+    else:
+        places = F.sequence(F.lit(1), F.length(word) - size + 1)
+        grams = F.array_distinct(F.transform(places, lambda i: F.substring(word, i, F.lit(size))))
+    cut = F.transform(grams, lambda g: F.struct(F.lit(fit).alias("fit"), g.alias("gram")))
+    return F.when(F.length(word) >= size, cut).otherwise(
+        F.array().cast("array<struct<fit:string,gram:string>>")
+    )
+
+
+def expanded(pieces: DataFrame, words: DataFrame) -> DataFrame:
+    """``pieces`` with each ``word`` of ``words`` that they fit, and its count ``n``.
+
+    Pieces of a word meet the words by equality: on the word, on its first or last GRAM
+    letters, or, inside a word, on that gram of the piece that the fewest words have. Only the
+    distinct words of the text are cut into grams, never its lines.
+    """
+    whole = pieces.where(F.col("fit") == "whole").join(words, F.col("piece") == F.col("word"))
+    parts = pieces.where(F.col("fit") != "whole")
+    shapes = parts.select("fit", F.least(F.length("piece"), F.lit(GRAM)).alias("size")).distinct().collect()
+    if not shapes:  # at most three fits of GRAM sizes
+        return whole
+    cut = F.concat(*[_word_parts(F.col("word"), r["fit"], r["size"]) for r in shapes])
+    grams = parts.withColumn(
+        "gram",
+        F.explode(
+            F.when(F.col("fit") == "start", F.array(F.substring("piece", 1, GRAM)))
+            .when(F.col("fit") == "end", F.array(F.right(F.col("piece"), F.lit(GRAM))))
+            .otherwise(F.expr(f"transform(sequence(1, greatest(1, length(piece) - {GRAM - 1})), i -> substring(piece, i, {GRAM}))"))
+        ),
+    ).distinct()
+    wanted = small_side(grams.select("fit", "gram").distinct())
+    cuts = durable(
+        words.select("word", "n", F.explode(cut).alias("c")).select("word", "n", "c.fit", "c.gram").join(
+            wanted, ["fit", "gram"], "left_semi"
+        )
+    )
+    seen = cuts.groupBy("fit", "gram").agg(F.count(F.lit(1)).alias("_words"))
+    # a gram that no word has is the rarest one: its key meets nothing
+    rarest = grams.join(seen, ["fit", "gram"], "left").groupBy("_low", "_how", "piece", "fit").agg(
+        F.min_by("gram", F.struct(F.coalesce("_words", F.lit(0)), "gram")).alias("gram")
+    )
+    fits_word = (
+        F.when(F.col("fit") == "start", F.col("word").startswith(F.col("piece")))
+        .when(F.col("fit") == "end", F.col("word").endswith(F.col("piece")))
+        .otherwise(F.col("word").contains(F.col("piece")))
+    )
+    return whole.unionByName(cuts.join(small_side(rarest), ["fit", "gram"]).where(fits_word).select(*whole.columns))
+
+
+def anchors(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(_low, _how, word, _sure)``: the words by which the lines of each key are found.
+
+    ``_sure`` is true where the word alone proves the match: it is the whole key of a word
+    search, or it holds the whole of a substring.
+    Of the pieces of a key the rarest is taken: the one whose words, counted over ``lines``,
+    have the fewest lines together. Keys with a piece that no line has are left out.
+    """
+    pieces = durable(
+        key_pieces(keys.select("_low", "_how").distinct()).withColumn(
+            "_alone", (F.count(F.lit(1)).over(Window.partitionBy("_low", "_how")) == 1) & (F.col("fit") == "whole")
+        )
+    )
+    # a key of one word has no choice, and nothing is counted for it
+    sure = (F.col("_how") == "word") & (F.col("piece") == F.col("_low"))
+    alone = pieces.where("_alone").select("_low", "_how", F.col("piece").alias("word"), sure.alias("_sure"))
+    pieces = pieces.where("not _alone").drop("_alone")
+    kinds = pieces.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.when(F.col("piece").startswith(SYMBOL), F.length("piece") - 1)).alias("sizes"),
+        F.count_if(F.col("fit") != "whole").alias("parts"),
+    ).first()
+    if not kinds["n"]:
+        return alone
+    found = lines.select(F.explode(_line_pieces(kinds["sizes"])).alias("word"))
+    if not kinds["parts"]:  # no word but those of the keys is of interest
+        found = found.join(small_side(pieces.select(F.col("piece").alias("word")).distinct()), "word", "left_semi")
+    words = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if kinds["parts"]:
+        words = durable(words)
+    fitting = durable(expanded(pieces, words))
+    costs = pieces.join(
+        fitting.groupBy("_low", "_how", "piece", "fit").agg(F.sum("n").alias("_cost")), ["_low", "_how", "piece", "fit"], "left"
+    )
+    best = costs.groupBy("_low", "_how").agg(
+        F.min_by(F.struct("piece", "fit"), F.struct(F.coalesce("_cost", F.lit(0)), "piece", "fit")).alias("_best")
+    )
+    chosen = best.select("_low", "_how", "_best.piece", "_best.fit")
+    return alone.unionByName(
+        fitting.join(small_side(chosen), ["_low", "_how", "piece", "fit"], "left_semi").select(
+            "_low", "_how", "word",
+            (((F.col("_how") == "substring") & (F.col("piece") == F.col("_low"))) | sure).alias("_sure"),
+        )
     )
 
 
@@ -106,58 +233,55 @@ def _exact(content: Column) -> Column:
     )
     return (
         F.when(F.col("_how") == "substring", F.lower(content).contains(F.col("_low")))
-        .when((F.col("_how") == "word") & (F.col("_kind") == "word")
-              & (F.col("_anchor") == F.col("_low")), F.lit(True))
         .when(F.col("_how") == "word", F.regexp_like(content, bound))
         .otherwise(F.regexp_like(content, fenced))
     )
 
 
-def _words() -> Column:
-    return F.array_distinct(
-        F.regexp_extract_all(F.lower(F.col("content")), F.lit(WORDS), F.lit(0))
-    )
-
-
-def _grams(part: DataFrame) -> Column:
-    """Distinct pieces of a line of the anchors' sizes, by a look-ahead that overlaps."""
-    low = F.lower(F.col("content"))
-    sizes = part.select(F.length("_anchor")).distinct().collect()  # at most GRAM values
-    found = [
-        F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{r[0]}}}))"), F.lit(1)) for r in sizes
-    ]
-    return F.array_distinct(F.concat(*found))
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Equality of columns in which nulls are equal; still an equality join."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[f"_right_{c}"])
+    return out
 
 
 def match_lines(keys: DataFrame, lines: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """All (key, line) pairs that match. ``keys`` comes from :func:`anchored`.
+    """The columns of ``keys`` and the line key of every line that matches, each pair once.
 
-    ``on`` adds equality columns (such as the file a key may be looked up in). Keys
-    proven small are broadcast, and lines are then read once without a shuffle.
-    Otherwise only ``(line, word)`` pairs are shuffled, and the text joins back
-    for the candidates.
+    ``keys`` comes from :func:`anchored`; ``on`` adds equality columns (such as the file a key
+    may be looked up in). Anchors proven small are broadcast, and lines are then read without
+    a shuffle. Otherwise only ``(line, word)`` pairs are shuffled, and the text joins back for
+    the candidates that need it. The result holds no text; :func:`with_content` adds it.
     """
-    kinds = [r[0] for r in keys.select("_kind").distinct().collect()] or ["word"]  # at most two
-    small = fits(keys)
-    found = []
-    for kind in kinds:
-        part = keys.where(F.col("_kind") == kind)
-        parts = _words() if kind == "word" else _grams(part)
-        join_on = ["_anchor", *on]
-        if small:
-            pieces = lines.withColumn("_anchor", F.explode(parts))
-            hits = pieces.join(F.broadcast(part), join_on)
-        else:
-            own = list(dict.fromkeys([*line_key(lines), *on]))
-            pieces = lines.select(*own, F.explode(parts).alias("_anchor"))
-            candidates = pieces.join(part, join_on)
-            rest = [c for c in candidates.columns if c not in lines.columns]
-            hits = candidates.select(*own, *rest).join(lines, own)
-        found.append(hits.where(_exact(F.col("content"))))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    if on:
+        lines = lines.join(small_side(keys.select(*on).distinct()), [*on], "left_semi")
+    own = line_key(lines)
+    found = durable(anchors(keys, lines))
+    seen = found.agg(
+        F.collect_set(F.when(F.col("word").startswith(SYMBOL), F.length("word") - 1)).alias("sizes"),
+        F.count_if(~F.col("_sure")).alias("unsure"),
+    ).first()
+    words = F.explode(_line_pieces(seen["sizes"])).alias("word")
+    if fits(found, ANCHOR_ROWS):
+        pairs = lines.select(*own, "content", words).join(F.broadcast(found), "word")
+        hits = pairs.where(F.col("_sure") | _exact(F.col("content"))).select(*own, "_low", "_how").distinct()
+    else:
+        pairs = lines.select(*own, words).join(found, "word")
+        pairs = pairs.groupBy(*own, "_low", "_how").agg(F.bool_or("_sure").alias("_sure"))
+        hits = pairs.where("_sure").select(*own, "_low", "_how")
+        if seen["unsure"]:
+            tested = with_content(pairs.where("not _sure"), lines).where(_exact(F.col("content")))
+            hits = hits.unionByName(tested.select(*own, "_low", "_how"))
+    return hits.join(small_side(keys), ["_low", "_how", *on])
+
+
+def with_content(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """``hits`` with the text of their lines."""
+    own = line_key(lines)
+    text = lines.select(*[F.col(c).alias(f"_right_{c}") for c in own], "content")
+    small = small_side(hits)
+    return small.join(text, _same(small, text, own)).drop(*[f"_right_{c}" for c in own])
 
 
 # ---- pivot search ----------------------------------------------------------------
@@ -169,17 +293,22 @@ def file_ranks(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     )
 
 
+def pivot_lines(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(finding_id, source_file, line_no)``, with case and path if lines have them: each line
+    once per finding, whichever of its keys it has."""
+    how = F.when(F.col("mode") == "path", "substring").otherwise("word")
+    # a key of one case meets the lines of that case only
+    case = [c for c in ("case_id",) if c in keys.columns and c in lines.columns]
+    wanted = anchored(keys.select(*case, "finding_id", "term", "mode"), "term", how)
+    return match_lines(wanted, lines, case).select("finding_id", *line_key(lines)).distinct()
+
+
 def pivot_hits(keys: DataFrame, lines: DataFrame) -> DataFrame:
     """``(finding_id, source_file, line_no, content)``: each line once per finding.
 
     ``keys`` has finding_id, term and mode; ``lines`` has source_file, line_no, content.
     """
-    how = F.when(F.col("mode") == "path", "substring").otherwise("word")
-    # a key of one case meets the lines of that case only
-    case = [c for c in ("case_id",) if c in keys.columns and c in lines.columns]
-    wanted = anchored(keys.select(*case, "finding_id", "term", "mode"), "term", how)
-    hits = match_lines(wanted, lines, case)
-    return hits.groupBy("finding_id", *line_key(lines)).agg(F.any_value("content").alias("content"))
+    return with_content(pivot_lines(keys, lines), lines)
 
 
 def cap_hits(
@@ -196,7 +325,7 @@ def cap_hits(
     ranked = hits.join(small_side(files), "source_file")
     own = [*(c for c in ("case_id",) if c in hits.columns), "finding_id"]
     order = [F.col("line_no"), *(F.col(c) for c in ("path",) if c in hits.columns)]
-    last = files.agg(F.max("file_rank").alias("_last"))
+    last = files.agg(F.max("file_rank")).first()[0]
     near = capped_rank(
         ranked, [*own, "source_file"], order, per_file, F.col("line_no"), "_n"
     )
@@ -205,12 +334,8 @@ def cap_hits(
         near, own, [F.col("file_rank"), *order], total, F.col("line_no"),
         "rank", ways=1,
     ).drop("_n")
-    cut = (
-        kept.join(F.broadcast(last))  # one row
-        .groupBy(*own)
-        .agg((F.count_if(F.col("file_rank") < F.col("_last")) >= total).alias("truncated"))
-    )
-    return kept.join(cut, own)
+    early = F.count_if(F.col("file_rank") < F.lit(last)).over(Window.partitionBy(*own))
+    return kept.withColumn("truncated", early >= total)
 
 
 def hits_per_file(hits: DataFrame) -> DataFrame:
@@ -227,7 +352,8 @@ def pivot_search(
 ) -> DataFrame:
     """Capped evidence lines of every finding; only the listed files are searched."""
     searched = lines.join(small_side(files.select("source_file")), "source_file", "left_semi")
-    return cap_hits(pivot_hits(keys, searched), files, per_file, total)
+    # lines are limited by their numbers alone; only the text of those that stay is fetched
+    return with_content(durable(cap_hits(pivot_lines(keys, searched), files, per_file, total)), searched)
 
 
 def format_pivot(findings: DataFrame, hits: DataFrame) -> DataFrame:
@@ -352,8 +478,6 @@ def budget_lines(hits: DataFrame, n: int = rules.BUDGET_LINES) -> DataFrame:
 
     Works on counts per file, so the lines themselves are never gathered.
     """
-    from pyspark.sql.window import Window
-
     counts = hits.groupBy("finding_id", "file_rank", "source_file").agg(
         F.count(F.lit(1)).alias("found")
     )
@@ -377,9 +501,9 @@ def type_files(spark: SparkSession, files: Mapping[str, Sequence[str]]) -> DataF
     )
 
 
-def entity_hits(queries: DataFrame, lines: DataFrame, allowed: DataFrame,
-                module: str = "disk") -> DataFrame:
-    """All lines of the allowed files that match a query, before any cap."""
+def entity_lines(queries: DataFrame, lines: DataFrame, allowed: DataFrame,
+                 module: str = "disk") -> DataFrame:
+    """``query_id, file_rank`` and the key of every line of the allowed files that matches."""
     kind = F.col("entity_type")
     name = base_name(F.col("entity_value"))
     bounded = ["pid"] if module == "memory" else ["hash_md5", "hash_sha1", "hash_sha256"]
@@ -394,11 +518,14 @@ def entity_hits(queries: DataFrame, lines: DataFrame, allowed: DataFrame,
     keys = queries.select("query_id", "entity_type", needle.alias("_needle")).join(
         F.broadcast(allowed), "entity_type"  # a fixed list of types and files
     )
-    return match_lines(anchored(keys, "_needle", how), lines, ["source_file"]).select(
-        "query_id", "source_file", "file_rank", "line_no", "content"
-    ).groupBy("query_id", "source_file", "file_rank", "line_no").agg(
-        F.any_value("content").alias("content")
-    )
+    found = match_lines(anchored(keys, "_needle", how), lines, ["source_file"])
+    return found.select("query_id", "file_rank", *line_key(lines)).distinct()
+
+
+def entity_hits(queries: DataFrame, lines: DataFrame, allowed: DataFrame,
+                module: str = "disk") -> DataFrame:
+    """All lines of the allowed files that match a query, with their text, before any cap."""
+    return with_content(entity_lines(queries, lines, allowed, module), lines)
 
 
 def entity_lookup(
@@ -410,9 +537,10 @@ def entity_lookup(
 ) -> DataFrame:
     """Evidence of each query: the first lines in file order, with their first ISO stamp.
 
-    A ``max_lines`` column of ``queries`` overrides ``cap`` per query.
+    A ``max_lines`` column of ``queries`` overrides ``cap`` per query. The evidence is stored:
+    what follows reads it more than once.
     """
-    hits = entity_hits(queries, lines, allowed, module)
+    hits = entity_lines(queries, lines, allowed, module)
     top = cap
     if "max_lines" in queries.columns:
         top = max(cap, queries.agg(F.max("max_lines")).first()[0] or cap)
@@ -423,7 +551,10 @@ def entity_lookup(
         ranked = ranked.join(queries.select("query_id", "max_lines"), "query_id").where(
             F.col("rank") <= F.coalesce("max_lines", F.lit(cap))
         ).drop("max_lines")
-    return ranked.withColumn("timestamp", first_iso(F.col("content")))
+    # the text of the lines that stay is fetched last
+    return durable(
+        with_content(durable(ranked), lines).withColumn("timestamp", first_iso(F.col("content")))
+    )
 
 
 def cap_evidence(evidence: DataFrame, verdicts: DataFrame,

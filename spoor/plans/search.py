@@ -8,6 +8,7 @@ from spoor import rules
 from spoor.operators import search as ops
 from spoor.operators.filters import trivially_benign
 from spoor.plans.bindings import load, oracle, run_sql, view
+from spoor.scale import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,6 +51,10 @@ def search_keys(spark, sf):
     return ops.search_keys(targets(spark, sf)).select("finding_id", "term", "mode")
 
 
+def _lines(spark, sf):
+    return spread(view(spark, sf, "lines"))
+
+
 def _files(spark, n=20):
     return ops.file_ranks(spark, [f"src{i}.txt" for i in range(n)])
 
@@ -57,7 +62,7 @@ def _files(spark, n=20):
 @register("pivot_hits", "WITH " + _HITS + "\nSELECT finding_id, source_file, line_no FROM hits", "lines")
 def pivot_hits(spark, sf):
     keys = ops.search_keys(targets(spark, sf))
-    return ops.pivot_hits(keys, view(spark, sf, "lines")).select("finding_id", "source_file", "line_no")
+    return ops.pivot_hits(keys, _lines(spark, sf)).select("finding_id", "source_file", "line_no")
 
 
 @register("pivot_path_keys", """
@@ -89,7 +94,7 @@ capped AS (SELECT *, count(*) FILTER (rank <= 40 AND file_rank < 19) OVER (PARTI
 SELECT finding_id, source_file, line_no, CAST(rank AS INT) AS rank, truncated FROM capped WHERE rank <= 40""", "lines")
 def pivot_search(spark, sf):
     keys = ops.search_keys(targets(spark, sf))
-    return ops.pivot_search(keys, view(spark, sf, "lines"), _files(spark), 6, 40).select(
+    return ops.pivot_search(keys, _lines(spark, sf), _files(spark), 6, 40).select(
         "finding_id", "source_file", "line_no", "rank", "truncated")
 
 
@@ -97,7 +102,7 @@ def pivot_search(spark, sf):
 SELECT finding_id, source_file, count(*) AS hits FROM hits GROUP BY ALL""", "lines")
 def hits_per_file(spark, sf):
     keys = ops.search_keys(targets(spark, sf))
-    return ops.hits_per_file(ops.pivot_hits(keys, view(spark, sf, "lines")))
+    return ops.hits_per_file(ops.pivot_hits(keys, _lines(spark, sf)))
 
 
 @register("budget_lines", "WITH " + _HITS + """,
@@ -106,7 +111,7 @@ SELECT finding_id, source_file, found, CAST(greatest(least(found, 40 - coalesce(
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS BIGINT) AS shown FROM n""", "lines")
 def budget_lines(spark, sf):
     keys = ops.search_keys(targets(spark, sf))
-    hits = ops.pivot_hits(keys, view(spark, sf, "lines")).join(F.broadcast(_files(spark)), "source_file")
+    hits = ops.pivot_hits(keys, _lines(spark, sf)).join(F.broadcast(_files(spark)), "source_file")
     return ops.budget_lines(hits).select("finding_id", "source_file", "found", "shown")
 
 
@@ -120,7 +125,7 @@ SELECT t.finding_id, repeat('=', 72) || chr(10) || '=== FINDING ' || t.finding_i
 FROM t LEFT JOIN e USING (finding_id)""", "lines")
 def pivot_report(spark, sf):
     t = targets(spark, sf)
-    hits = ops.pivot_search(ops.search_keys(t), view(spark, sf, "lines"), _files(spark), 6, 40)
+    hits = ops.pivot_search(ops.search_keys(t), _lines(spark, sf), _files(spark), 6, 40)
     return ops.format_pivot(t, hits)
 
 
@@ -131,7 +136,7 @@ SELECT doc_case AS case_id, finding_id, source_file, line_no FROM hits""", "line
 def pivot_hits_cases(spark, sf):
     # the same file and line in several cases; a key belongs to one of them
     cases = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    lines = view(spark, sf, "lines").withColumn("case_id", cases).where(F.col("case_id") != F.col("line_no") % 3)
+    lines = _lines(spark, sf).withColumn("case_id", cases).where(F.col("case_id") != F.col("line_no") % 3)
     keys = ops.search_keys(targets(spark, sf)).withColumn("case_id", (F.col("finding_id") % 3).cast("int"))
     return ops.pivot_hits(keys, lines).select("case_id", "finding_id", "source_file", "line_no")
 
@@ -214,7 +219,7 @@ def _asked(spark, sf):
 
 
 def _evidence(spark, sf):
-    return ops.entity_lookup(_asked(spark, sf), view(spark, sf, "lines"), ops.type_files(spark, _ALLOWED), 20)
+    return ops.entity_lookup(_asked(spark, sf), _lines(spark, sf), ops.type_files(spark, _ALLOWED), 20)
 
 
 @register("entity_lookup", "WITH " + _FOUND + "\nSELECT query_id, source_file, line_no, CAST(rank AS INT) AS rank FROM ev", "lines")

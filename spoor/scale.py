@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Rows and bytes up to which a side may be sent to every executor.
@@ -21,9 +22,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` is proven to be small: one aggregate with map-side combine."""
+    wide = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide = wide + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            wide = wide + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+        else:
+            wide = wide + 8
     measured = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wide), F.lit(0)).alias("b")
     ).first()
     return measured["n"] <= rows and measured["b"] <= size
 
@@ -33,6 +41,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it is small: no more partitions than cores.
+
+    A file with one large row group is read by one task however many splits it has; work that
+    is dear per row then waits for one core. Larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def _with_bucket(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with the columns of the one-row-per-bucket ``side``; null keys match null keys."""
     named = side.select(
