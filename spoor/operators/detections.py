@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from spoor import rules
 from spoor.functions import base_name, contains_any, ext_in
 from spoor.operators.process import with_parent
-from spoor.scale import lagged, last_before, running_sum
+from spoor.scale import lagged, last_before, running_sum, small_side
 
 FAILURE, SUCCESS = 4625, 4624
 # stretches of time that one task chains
@@ -133,14 +133,43 @@ def lateral_sweep(ev: DataFrame, k: int = 3, within: int = 600) -> DataFrame:
     """Sources with network logons to ``k`` hosts inside any ``within`` seconds.
 
     ``hosts`` is the largest such number; ``first`` and ``last`` are the times at which the
-    threshold was first and last reached.
+    threshold was first and last reached. A logon counts for its host in the ``within``
+    seconds after it; these intervals are merged per source and host, and a running sum over
+    their ends gives the hosts at every time. No row holds a set, and a source is cut into
+    stretches of time.
     """
-    logons = ev.where((F.col("id") == SUCCESS) & (F.col("logon_type") == "3"))
-    seen = _looking_back(
-        logons, within, lambda w: F.size(F.collect_set("computer").over(w)), "hosts"
+    step = within * 1_000_000
+    logons = ev.where((F.col("id") == SUCCESS) & (F.col("logon_type") == "3") & F.col("src").isNotNull())
+    times = (
+        logons.groupBy("src", "computer", F.unix_micros(F.col("time").cast("timestamp")).alias("_t"))
+        .agg(F.min("time").alias("_from"), F.max("time").alias("_until"))
+        .where(F.col("_t").isNotNull())
     )
-    return seen.where(F.col("hosts") >= k).groupBy("src").agg(
-        F.max("hosts").alias("hosts"), F.min("time").alias("first"), F.max("time").alias("last")
+    stretch = F.floor(F.col("_t") / step)
+    chained = lagged(times, ["src", "computer"], [F.col("_t")], stretch, F.col("_t"), "_before")
+    opened = F.col("_before").isNull() | (F.col("_before") < F.col("_t") - step)
+    counted = F.when(F.col("computer").isNotNull(), 1).otherwise(0).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    steps = chained.select(
+        "src", "_t", "_from", "_until", F.when(opened, counted).otherwise(none).alias("_plus"), none.alias("_minus")
+    )
+    # an interval ends after the last logon before a gap, and after the last one of all
+    broken = chained.where(opened & F.col("_before").isNotNull()).select(
+        "src", "computer", (F.col("_before") + step).alias("_t")
+    )
+    closed = broken.unionByName(
+        times.groupBy("src", "computer").agg((F.max("_t") + step).alias("_t"))
+    ).where(F.col("computer").isNotNull())
+    ends = closed.select("src", "_t", none.alias("_plus"), F.lit(1).cast("bigint").alias("_minus"))
+    points = steps.unionByName(ends, allowMissingColumns=True).groupBy("src", "_t").agg(
+        F.sum("_plus").alias("_plus"), F.sum("_minus").alias("_minus"),
+        F.min("_from").alias("_from"), F.max("_until").alias("_until"),
+    ).withColumn("_change", F.col("_plus") - F.col("_minus"))
+    open_now = running_sum(points, ["src"], [F.col("_t")], F.floor(F.col("_t") / step), "_change", "_open")
+    # an interval still counts at its own end
+    seen = open_now.withColumn("hosts", (F.col("_open") + F.col("_minus")).cast("int"))
+    return seen.where(F.col("_from").isNotNull() & (F.col("hosts") >= k)).groupBy("src").agg(
+        F.max("hosts").alias("hosts"), F.min("_from").alias("first"), F.max("_until").alias("last")
     )
 
 
@@ -165,23 +194,61 @@ def command_rules(proc: DataFrame, table: Sequence[tuple[str, str]] = rules.COMM
     return proc.withColumn("rule", F.explode(hits))
 
 
-def typosquats(proc: DataFrame, known: Sequence[str], image: str = "image") -> DataFrame:
-    """Images at edit distance 1 or 2 from a known name that are no known name themselves."""
-    low = F.lower(F.col(image))
-    near = F.array_compact(
-        F.array(
-            *[
-                F.when(F.levenshtein(low, F.lit(k), 2).between(1, 2), F.lit(k))
-                for k in known
-            ]
+def _shortened(name: Column) -> Column:
+    """A text, and what is left of it without any one or two of its characters."""
+    def without(one: Column) -> Column:
+        places = F.when(F.length(one) > 0, F.sequence(F.lit(1), F.length(one))).otherwise(
+            F.array().cast("array<int>")
         )
-    )
-    short = [k[: rules.NAME_LIMIT] for k in known]
+        return F.transform(
+            places,
+            lambda i: F.concat(F.substring(one, F.lit(1), i - 1), F.substring(one, i + 1, F.length(one))),
+        )
+
+    once = F.array_distinct(without(name))
+    return F.array_distinct(F.concat(F.array(name), once, F.flatten(F.transform(once, without))))
+
+
+def near_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """``(name, known, distance)``: pairs at edit distance 1 to ``most`` (at most 2).
+
+    Two texts within two edits agree after leaving out up to two characters of each, so they
+    meet by equality on what is left. Names longer than the longest known one by more than
+    ``most`` characters meet none and are not cut. Work grows with the distinct names.
+    """
+    if not 1 <= most <= 2:
+        raise ValueError("most must be 1 or 2")
+    listed = known.select(F.col("name").alias("known")).where(F.col("known").isNotNull()).distinct()
+    longest = listed.agg(F.coalesce(F.max(F.length("known")), F.lit(0))).first()[0]
+    asked = names.select("name").where(F.length("name") <= longest + most).distinct()
+    left = asked.select("name", F.explode(_shortened(F.col("name"))).alias("_rest"))
+    right = listed.select("known", F.explode(_shortened(F.col("known"))).alias("_rest"))
     return (
-        proc.where(~low.isin([*known, *short]))
-        .withColumn("resembles", near)
-        .where(F.size("resembles") > 0)
+        left.join(small_side(right), "_rest")
+        .select("name", "known")
+        .distinct()
+        .withColumn("distance", F.levenshtein("name", "known"))
+        .where(F.col("distance").between(1, most))
+    )
+
+
+def typosquats(proc: DataFrame, known: Sequence[str] | DataFrame, image: str = "image") -> DataFrame:
+    """Images at edit distance 1 or 2 from a known name that are no known name themselves.
+
+    ``known`` is a list, or a table ``(name)`` of any length; ``resembles`` is sorted.
+    """
+    if not isinstance(known, DataFrame):
+        known = proc.sparkSession.createDataFrame([(k,) for k in known], "name string")
+    known = known.select(F.lower("name").alias("name")).where(F.col("name").isNotNull()).distinct()
+    short = known.select(F.substring("name", 1, rules.NAME_LIMIT).alias("name"))
+    names = proc.select(F.lower(F.col(image)).alias("name")).where(F.col("name").isNotNull()).distinct()
+    new = names.join(small_side(known.unionByName(short).distinct()), "name", "left_anti")
+    found = near_names(new, known).groupBy("name").agg(
+        F.array_sort(F.collect_set("known")).alias("resembles")
     )
+    return proc.withColumn("_low", F.lower(F.col(image))).join(
+        small_side(found.select(F.col("name").alias("_low"), "resembles")), "_low"
+    ).drop("_low")
 
 
 def parentage(

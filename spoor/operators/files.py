@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spoor import rules
 from spoor.functions import contains_any, ext_in, iso_z, parse_iso, under_prefix
-from spoor.scale import first_per_key, small_side
+from spoor.scale import first_per_key, fits, small_side
 from spoor.session import durable
 
 
@@ -205,38 +205,102 @@ def file_stats(scored: DataFrame, cfg: FileRules = FileRules()) -> DataFrame:
     )
 
 
-def in_window(
-    df: DataFrame, windows: DataFrame, time: str = "created", width: int = 86_400
-) -> DataFrame:
-    """Rows whose time lies in an attack window ``(window_id, start, end)``, bounds included.
+LEVELS = 40  # cells of up to 2**40 seconds
+
 
-    Each window is listed under every stretch of ``width`` seconds it touches, so
-    the join is an equality on the stretch plus the exact bounds.
+def _cells(first: str, last: str) -> Column:
+    """The fewest cells of doubling width that cover whole seconds ``first`` to ``last``.
+
+    At each level only the outermost of the cells inside can miss a cell of the next level,
+    so a window has at most two cells a level, however long it is.
     """
-    stretch = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (width * 1_000_000))
+    inside = F.expr(
+        f"transform(sequence(0, {LEVELS}), l -> named_struct('level', l,"
+        f" 'lo', -shiftright(-{first}, l), 'hi', shiftright({last} + 1, l) - 1))"
+    )
+    left = F.transform(
+        F.filter(inside, lambda c: (c["lo"] <= c["hi"]) & (F.pmod(c["lo"], F.lit(2)) == 1)),
+        lambda c: F.struct(c["level"].alias("level"), c["lo"].alias("cell")),
+    )
+    right = F.transform(
+        F.filter(inside, lambda c: (c["lo"] <= c["hi"]) & (F.pmod(c["hi"], F.lit(2)) == 0)),
+        lambda c: F.struct(c["level"].alias("level"), c["hi"].alias("cell")),
+    )
+    return F.array_distinct(F.concat(left, right))
 
-    def at(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width * 1_000_000))
 
-    listed = windows.withColumn("_stretch", F.explode(F.sequence(at("start"), at("end"))))
+def in_window(df: DataFrame, windows: DataFrame, time: str = "created") -> DataFrame:
+    """Rows whose time lies in an attack window ``(window_id, start, end)``, bounds included.
+
+    A window is listed under the few cells that cover it, a row under one cell of each level
+    that windows use, so the join is an equality on the cell plus the exact bounds, for
+    windows of seconds and of decades alike. Rows and windows without a time meet nothing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    spans = windows.withColumns(
+        {"_from": micros("start"), "_to": micros("end")}
+    ).withColumns(
+        {"_a": F.floor(F.col("_from") / 1_000_000), "_b": F.floor(F.col("_to") / 1_000_000)}
+    ).where(F.col("_from") <= F.col("_to"))
+    listed = durable(
+        spans.withColumn("_c", F.explode(_cells("_a", "_b")))
+        .withColumns({"_level": F.col("_c")["level"], "_cell": F.col("_c")["cell"]})
+        .drop("start", "end", "_a", "_b", "_c")
+    )
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # LEVELS at most
+    rows = df.withColumns(
+        {"_us": micros(time), "_level": F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))}
+    ).withColumn("_cell", F.expr("shiftright(floor(_us / 1000000), _level)"))
     return (
-        df.withColumn("_stretch", stretch)
-        .join(small_side(listed), "_stretch")
-        .where(F.col(time).between(F.col("start"), F.col("end")))
-        .drop("_stretch", "start", "end")
+        rows.join(small_side(listed), ["_level", "_cell"])
+        .where(F.col("_us").between(F.col("_from"), F.col("_to")))
+        .drop("_level", "_cell", "_us", "_from", "_to")
     )
 
 
+BLOOM_WORDS = 1 << 20  # 64 bits each: with its key 16 MB at most
+BLOOM_KEYS = 4  # hashes a word is made for: 16 bits each
+
+
+def _bloom(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a blocked Bloom filter that a key belongs to, and its three bits there."""
+    more = F.xxhash64(key, F.lit("bits"))
+    mask = F.lit(0).cast("bigint")
+    for n in range(3):
+        at = F.shiftright(more, 6 * n).bitwiseAND(F.lit(63))
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int")))
+    return F.pmod(F.xxhash64(key), F.lit(words)), mask
+
+
 def known_good(df: DataFrame, hashes: DataFrame, col: str = "hash") -> DataFrame:
-    """Flags files whose hash is on a known-good list ``(hash)``."""
-    listed = hashes.select(F.lower("hash").alias("_h")).distinct().withColumn(
-        "_known", F.lit(True)
-    )
-    return (
-        df.join(small_side(listed), F.lower(F.col(col)) == F.col("_h"), "left")
+    """Flags files whose hash is on a known-good list ``(hash)``.
+
+    A small list is broadcast. Of a large one a Bloom filter of bounded size is: only files
+    that it lets through are shuffled to the list, and the others are known not to be on it.
+    """
+    listed = hashes.select(F.lower("hash").alias("_h")).where(F.col("_h").isNotNull()).distinct()
+    if fits(listed):
+        flagged = listed.withColumn("_known", F.lit(True))
+        return (
+            df.join(F.broadcast(flagged), F.lower(F.col(col)) == F.col("_h"), "left")
+            .withColumn("known_good", F.coalesce("_known", F.lit(False)))
+            .drop("_h", "_known")
+        )
+    listed = durable(listed)
+    words = max(1, min(BLOOM_WORDS, listed.count() // BLOOM_KEYS))
+    word, mask = _bloom(F.col("_h"), words)
+    bits = listed.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    word, mask = _bloom(F.lower(F.col(col)), words)
+    marked = df.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & F.col(col).isNotNull()
+    sifted = marked.withColumn("_maybe", maybe).drop("_word", "_mask", "_bits")
+    tested = (
+        sifted.where("_maybe")
+        .join(listed.withColumn("_known", F.lit(True)), F.lower(F.col(col)) == F.col("_h"), "left")
         .withColumn("known_good", F.coalesce("_known", F.lit(False)))
-        .drop("_h", "_known")
+        .drop("_h", "_known", "_maybe")
     )
+    return tested.unionByName(sifted.where("not _maybe").drop("_maybe").withColumn("known_good", F.lit(False)))
 
 
 def install_date(records: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,21 @@ def build_nodes(findings: DataFrame) -> DataFrame:
     count, so a node's row stays small however many findings it has. Counting is
     done in two steps, and the first one spreads a hot entity over its verdicts.
     """
-    parts = mentions(findings).groupBy("type", "value", "module", "verdict", "severity", "subject").agg(
+    return nodes_of(node_parts(findings))
+
+
+def node_parts(findings: DataFrame) -> DataFrame:
+    """What nodes are made of: parts of several sets of findings may be united and summed."""
+    return mentions(findings).groupBy("type", "value", "module", "verdict", "severity", "subject").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seen", "module", "finding_id")).alias("first")
     )
+
+
+def nodes_of(parts: DataFrame) -> DataFrame:
+    """The nodes of :func:`node_parts`, or of the union of several of them."""
+    parts = parts.groupBy("type", "value", "module", "verdict", "severity", "subject").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
+    )
     subject = F.col("subject")
     return parts.groupBy("type", "value").agg(
         F.min("first").alias("_first"),
@@ -147,31 +160,45 @@ def investigate(
     """Route, answer and merge until nothing is open or ``max_rounds`` is reached.
 
     ``answer(queries, round)`` returns finding rows for ``(type, value, module)``.
-    Returns the final findings, the round log and the reason for stopping. Every
-    round is written durably, so plans stay flat and a lost executor costs one round.
+    Returns the final findings, the round log and the reason for stopping.
+
+    After the first round only the frontier is looked at: entities that were asked or named in
+    the round before. Nothing else can have changed, so nothing else is aggregated or routed
+    again. Parts of nodes are kept per round; those of the frontier are united. Every round is
+    written durably, so plans stay flat and a lost executor costs one round.
     """
     spark = findings.sparkSession
-    state = durable(findings.select(*FINDING))
-    log, reason = [], "max_rounds_reached"
-    known = _entities(state)
+    gathered = findings.select(*FINDING)
+    parts = [durable(node_parts(gathered))]
+    log, reason, frontier = [], "max_rounds_reached", None
     for number in range(1, max_rounds + 1):
-        queries = durable(route(candidates(build_nodes(state)), caps))
+        held = reduce(DataFrame.unionByName, parts)
+        queries = durable(route(candidates(nodes_of(_only(held, frontier))), caps))
         sent = queries.count()
         if not sent:
             reason = "convergence"
             break
-        state = durable(state.unionByName(answer(queries, number).select(*FINDING)))
-        now = _entities(state)
-        log.append((number, sent, now - known))
-        known = now
+        answers = durable(answer(queries, number).select(*FINDING))
+        added = durable(node_parts(answers))
+        named = durable(added.select("type", "value").distinct())
+        known = _only(held, named).select("type", "value").distinct()
+        log.append((number, sent, named.count() - known.count()))
+        frontier = durable(named.unionByName(queries.select("type", "value")).distinct())
+        gathered = gathered.unionByName(answers)
+        parts.append(added)
     rounds = spark.createDataFrame(
         log, "round int, queries_dispatched bigint, new_entities_added bigint"
     )
-    return state, rounds, reason
+    return durable(gathered), rounds, reason
 
 
-def _entities(findings: DataFrame) -> int:
-    return mentions(findings).select("type", "value").distinct().count()
+def _only(parts: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """Rows of the given entities; null types and values are entities like any other."""
+    if entities is None:
+        return parts
+    chosen = small_side(entities.select(F.col("type").alias("_type"), F.col("value").alias("_value")))
+    same = parts["type"].eqNullSafe(chosen["_type"]) & parts["value"].eqNullSafe(chosen["_value"])
+    return parts.join(chosen, same, "left_semi")
 
 
 # ---- enrichment ------------------------------------------------------------------

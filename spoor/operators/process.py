@@ -16,7 +16,7 @@ from spoor.functions import (
     notable_privs,
 
 )
-from spoor.scale import small_side, first_per_key, ordinal, running_sum
+from spoor.scale import first_per_key, lagged, ordinal, running_sum, small_side
 from spoor.session import durable
 
 KEY = ["case_id", "pid"]
@@ -289,49 +289,96 @@ def exclude_benign(proc: DataFrame) -> DataFrame:
 # ---- forest ----------------------------------------------------------------------
 
 
-def process_forest(proc: DataFrame, group: str = "case_id") -> DataFrame:
-    """Pre-order of the parent/child forest.
+DOWN, UP = 0, 1
+
 
-    Adds ``root_pid``, ``depth``, ``sort_path``, ``position`` (0-based in the case),
-    and the half-open interval ``[root_start, root_end)`` of the root's subtree.
-    A process whose parent is absent, 0 or itself is a root; siblings follow their
-    pid. Processes caught in a parent cycle are not reachable and are left out.
-    Parent pointers are doubled, so depth d needs log2(d) joins.
+def _tour(proc: DataFrame, group: str) -> DataFrame:
+    """The steps of a walk around every tree: down to each process and up from it.
+
+    One row a step: ``node``, ``kind``, and the step that follows (null after the root's way
+    up). The next sibling is the next pid under the same parent; a parent with any number of
+    children is cut by pid.
     """
-    keys = [group, "pid"]
     known = proc.select(group, F.col("pid").alias("ppid"), F.lit(True).alias("_known"))
     linked = proc.select(group, "pid", "ppid").join(known, [group, "ppid"], "left")
     up = F.when(
         F.col("_known") & (F.col("ppid") != 0) & (F.col("ppid") != F.col("pid")), F.col("ppid")
     )
-    state = durable(linked.select(*keys, up.alias("up"), F.array("pid").alias("sort_path")))
-    pending = state.where(F.col("up").isNotNull()).count()
+    tree = durable(linked.select(group, "pid", up.alias("up"), (-F.col("pid")).alias("_back")))
+    children = tree.where(F.col("up").isNotNull())
+    after = lagged(
+        children, [group, "up"], [F.col("_back")], F.floor(F.col("_back") / 4096), F.col("pid"), "_next"
+    )
+    first = children.groupBy(group, F.col("up").alias("pid")).agg(F.min("pid").alias("_first"))
+    step = lambda node, kind: F.struct(node.alias("node"), F.lit(kind).alias("kind"))
+    down = tree.join(first, [group, "pid"], "left").select(
+        group, F.col("pid").alias("node"), F.lit(DOWN).alias("kind"),
+        F.when(F.col("_first").isNotNull(), step(F.col("_first"), DOWN)).otherwise(step(F.col("pid"), UP)).alias("next"),
+    )
+    rise = after.select(
+        group, F.col("pid").alias("node"), F.lit(UP).alias("kind"),
+        F.when(F.col("_next").isNotNull(), step(F.col("_next"), DOWN)).otherwise(step(F.col("up"), UP)).alias("next"),
+    )
+    ends = tree.where(F.col("up").isNull()).select(
+        group, F.col("pid").alias("node"), F.lit(UP).alias("kind"),
+        F.lit(None).cast("struct<node:bigint,kind:int>").alias("next"),
+    )
+    steps = down.unionByName(rise).unionByName(ends)
+    return steps.select(
+        group, F.col("node").cast("bigint"), "kind", F.col("next.node").cast("bigint").alias("next_node"),
+        F.col("next.kind").alias("next_kind"),
+    )
+
+
+def process_forest(proc: DataFrame, group: str = "case_id") -> DataFrame:
+    """Pre-order of the parent/child forest.
+
+    Adds ``root_pid``, ``depth``, ``position`` (0-based in the case), and the half-open
+    interval ``[root_start, root_end)`` of the root's subtree. A process whose parent is
+    absent, 0 or itself is a root; siblings follow their pid. Processes caught in a parent
+    cycle are not reachable and are left out. A pid is one process of its case.
+
+    The steps of the walk around each tree form a list, and each step counts what follows it:
+    the ways down, the ways down less the ways up, and the last node. Every round each step
+    takes over the count of the step it points to and points to where that one points, so a
+    list of n steps is counted in log2(n) joins, be it a chain or a star. No row holds a path.
+    """
+    steps = _tour(proc, group)
+    down = F.when(F.col("kind") == DOWN, 1).otherwise(0).cast("bigint")
+    state = durable(steps.select(
+        group, "node", "kind", "next_node", "next_kind", down.alias("below"),
+        F.when(F.col("kind") == DOWN, 1).otherwise(-1).cast("bigint").alias("level"),
+        F.col("node").alias("last"),
+    ))
+    pending = state.where(F.col("next_node").isNotNull()).count()
     while pending:
-        above = state.select(
-            group, F.col("pid").alias("up"), F.col("up").alias("_up"),
-            F.col("sort_path").alias("_path"),
+        ahead = state.select(
+            group, F.col("node").alias("next_node"), F.col("kind").alias("next_kind"),
+            F.col("next_node").alias("_node"), F.col("next_kind").alias("_kind"),
+            F.col("below").alias("_below"), F.col("level").alias("_level"), F.col("last").alias("_last"),
         )
-        moved = state.where(F.col("up").isNotNull()).join(above, [group, "up"]).select(
-            *keys, F.col("_up").alias("up"), F.concat("_path", "sort_path").alias("sort_path")
+        moved = state.where(F.col("next_node").isNotNull()).join(ahead, [group, "next_node", "next_kind"]).select(
+            group, "node", "kind", F.col("_node").alias("next_node"), F.col("_kind").alias("next_kind"),
+            (F.col("below") + F.col("_below")).alias("below"), (F.col("level") + F.col("_level")).alias("level"),
+            F.col("_last").alias("last"),
         )
-        state = durable(state.where(F.col("up").isNull()).unionByName(moved))
-        left = state.where(F.col("up").isNotNull()).count()
-        if left == pending:
+        state = durable(state.where(F.col("next_node").isNull()).unionByName(moved))
+        left = state.where(F.col("next_node").isNotNull()).count()
+        if left == pending:  # only cycles are left
             break
         pending = left
-    reached = state.where(F.col("up").isNull()).select(
-        *keys, "sort_path", F.col("sort_path")[0].alias("root_pid"),
-        (F.size("sort_path") - 1).alias("depth"),
-    )
-    second = F.coalesce(F.get("sort_path", F.lit(1)), F.lit(-4096))
-    placed = ordinal(
-        reached, [group], [F.col("sort_path")],
-        F.struct(F.col("root_pid"), F.floor(second / 4096)), "position",
-    ).withColumn("position", F.col("position") - 1)
-    spans = placed.groupBy(group, "root_pid").agg(
-        F.min("position").alias("root_start"), (F.max("position") + 1).alias("root_end")
-    )
-    return proc.join(placed, keys).join(spans, [group, "root_pid"])
+    reached = state.where(F.col("next_node").isNull() & (F.col("kind") == DOWN)).select(
+        group, F.col("node").alias("pid"), F.col("last").alias("root_pid"),
+        (-F.col("level")).cast("int").alias("depth"), "below",
+    )
+    sizes = reached.where(F.col("pid") == F.col("root_pid")).select(group, "root_pid", F.col("below").alias("_size"))
+    roots = running_sum(
+        sizes, [group], [F.col("root_pid")], F.floor(F.col("root_pid") / 4096), "_size", "root_end"
+    ).withColumn("root_start", F.col("root_end") - F.col("_size"))
+    placed = reached.join(roots, [group, "root_pid"]).withColumn(
+        "position", F.col("root_end") - F.col("below")
+    ).drop("below", "_size")
+    return proc.join(placed, [group, "pid"])
 
 
 def format_process_line(df: DataFrame) -> Column:

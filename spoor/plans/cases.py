@@ -298,6 +298,48 @@ def investigation_rounds(spark, sf):
     return graph.investigate(findings(spark, sf), graph.capabilities(spark, _CAPS), answer)[1]
 
 
+def _spreading(rounds):
+    """Answers that close what is asked and, for the first rounds, open one more address for each
+    address that was looked up."""
+
+    def answer(queries, number):
+        def found(entity, verdict, module, rows):
+            kind = "array<struct<type:string,value:string,relationship:string>>"
+            return rows.select(
+                (F.lit(10**12) * number + F.pmod(F.xxhash64(entity, module), F.lit(10**12))).alias("ord"),
+                module.alias("module"), F.lit(None).cast("string").alias("finding_id"),
+                F.col("type").alias("entity_type"), entity.alias("entity_value"), F.lit(verdict).alias("verdict"),
+                F.lit(None).cast("string").alias("severity"), F.array().cast(kind).alias("related"))
+
+        closed = found(F.col("value"), "REJECTED", F.col("module"), queries)
+        if number > rounds:
+            return closed
+        some = queries.where((F.col("module") == "ti") & (F.col("type") == "ip"))
+        return closed.unionByName(found(F.concat("value", F.lit("+")), "INCONCLUSIVE", F.lit("disk"), some))
+
+    return answer
+
+
+_SPREAD = _ROUTES + """,
+g AS (SELECT count(DISTINCT value) AS g FROM r WHERE module = 'ti' AND type = 'ip'),
+k AS (SELECT count(*) AS k FROM caps WHERE type = 'ip' AND module <> 'disk'),
+rounds AS (SELECT 1 AS round, (SELECT count(*) FROM r) AS queries_dispatched, g AS new_entities_added FROM g
+  UNION ALL SELECT CAST(n AS INTEGER), g * k, CASE WHEN n > {spread} THEN 0 ELSE g END FROM g, k, range(2, {last} + 1) t(n))
+SELECT round, queries_dispatched, new_entities_added, '{reason}' AS stopped FROM rounds"""
+
+
+@register("investigation_spread", _SPREAD.replace("{spread}", "3").replace("{last}", "4").replace("{reason}", "convergence"), "findings")
+def investigation_spread(spark, sf):
+    _, log, reason = graph.investigate(findings(spark, sf), graph.capabilities(spark, _CAPS), _spreading(3), 9)
+    return log.withColumn("stopped", F.lit(reason))
+
+
+@register("investigation_limit", _SPREAD.replace("{spread}", "9").replace("{last}", "3").replace("{reason}", "max_rounds_reached"), "findings")
+def investigation_limit(spark, sf):
+    _, log, reason = graph.investigate(findings(spark, sf), graph.capabilities(spark, _CAPS), _spreading(9), 3)
+    return log.withColumn("stopped", F.lit(reason))
+
+
 @register("new_entities", """
 SELECT DISTINCT entity_type AS type, entity_value AS value FROM findings EXCEPT
 SELECT entity_type, entity_value FROM findings WHERE module = 'disk'""", "findings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoor.operators import detections as det
 from spoor.operators import files as ops
 from spoor.operators import filters as flt
+from spoor.operators import prefixes
 from spoor.plans.bindings import load, oracle, run_sql, view
 
 QUERIES, ORACLES = {}, {}
@@ -204,14 +205,45 @@ def file_disposition(spark, sf):
     return ops.file_disposition(scored(spark, sf), file_rules()).select("line_no", "disposition")
 
 
-@register("in_attack_window", """
-SELECT line_no, o_orderkey AS window_id FROM files JOIN orders ON created BETWEEN o_orderdate AND o_orderdate + INTERVAL 2 DAY
-WHERE o_totalprice > 499000""", "files")
+# a window opens at every order date; most are short, one in 400 lasts ten years
+_WINDOWS = """
+SELECT window_id, start, start + CASE WHEN window_id % 400 = 0 THEN INTERVAL '3650' DAY WHEN window_id % 3 = 0 THEN INTERVAL '0' DAY
+  WHEN window_id % 3 = 1 THEN INTERVAL '1' DAY ELSE INTERVAL '2' DAY END AS {end}
+FROM (SELECT DISTINCT CAST({days} AS BIGINT) AS window_id, o_orderdate AS start FROM {orders})"""
+
+
+@register("in_attack_window", "WITH w AS (" + _WINDOWS.replace("{end}", "stop").replace("{days}", "date_diff('day', TIMESTAMP '1970-01-01', o_orderdate)").replace(
+    "{orders}", "orders") + """)
+SELECT line_no, window_id FROM files JOIN w ON created BETWEEN start AND stop""", "files")
 def in_attack_window(spark, sf):
-    o = load(spark, sf, "orders").where("o_totalprice > 499000").select(
-        F.col("o_orderkey").alias("window_id"), F.col("o_orderdate").alias("start"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 2 DAY")).alias("end"))
-    return ops.in_window(view(spark, sf, "files"), o).select("line_no", "window_id")
+    windows = run_sql(spark, sf, _WINDOWS.replace("{end}", "end").replace("{days}", "datediff(o_orderdate, DATE'1970-01-01')"))
+    return ops.in_window(view(spark, sf, "files"), windows).select("line_no", "window_id")
+
+
+# whole folders, names that begin alike and a deep folder
+_PREFIXES = """
+SELECT 'C:/Windows/System32/' || CAST(s_suppkey AS STRING) || '/' AS prefix, 'system' AS rule FROM {supplier}
+UNION ALL SELECT 'Users/u' || CAST(s_suppkey AS STRING), 'user' FROM {supplier}
+UNION ALL SELECT '//ProgramData/x' || CAST(s_suppkey AS STRING) || '/f' || CAST(p_partkey AS STRING), 'part' FROM {supplier} JOIN {part} ON p_partkey % 100 = s_suppkey % 100
+UNION ALL SELECT 'Program Files/Vendor/a/b/c/', 'deep' FROM {supplier}
+UNION ALL SELECT 'Program Files/', 'vendor' FROM {supplier}"""
+
+
+@register("prefix_rules", "WITH p AS (SELECT DISTINCT ltrim(regexp_replace(lower(replace(prefix, '/', chr(92))), '^[a-z]:', ''), chr(92)) AS prefix, rule FROM ("
+          + _PREFIXES.replace("{supplier}", "supplier").replace("{part}", "part") + """)),
+u AS (SELECT DISTINCT path, lower(path) AS low FROM files),
+m AS (SELECT path, max_by(prefix, length(prefix)) AS prefix, max_by(rule, length(prefix)) AS rule FROM u JOIN p ON starts_with(low, prefix) GROUP BY path)
+SELECT line_no, m.prefix, m.rule FROM files LEFT JOIN m USING (path)""", "files")
+def prefix_rules(spark, sf):
+    table = run_sql(spark, sf, _PREFIXES)
+    return prefixes.prefix_rules(view(spark, sf, "files"), table).select("line_no", "prefix", "rule")
+
+
+@register("drop_prefixed", """
+SELECT line_no FROM files WHERE NOT starts_with(path, 'Windows' || chr(92)) AND NOT starts_with(path, 'Users' || chr(92) || 'u1')""", "files")
+def drop_prefixed(spark, sf):
+    table = spark.createDataFrame([("c:/windows/",), ("USERS/u1",)], "prefix string")
+    return prefixes.drop_prefixed(view(spark, sf, "files"), table).select("line_no")
 
 
 @register("known_good_files", """

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spoor import rules
 from spoor.operators import detections as det
 from spoor.operators import filters as flt
 from spoor.operators import process as ops
-from spoor.plans.bindings import load, oracle, run_sql, view
+from spoor.plans.bindings import PROCESSES, duck_sql, load, oracle, run_sql, view
 from spoor.sources import tsv
 
 QUERIES, ORACLES = {}, {}
@@ -399,14 +400,26 @@ def command_rules(spark, sf):
     return det.command_rules(view(spark, sf, "proc").withColumn("cmd", cmd)).select("pid", "rule")
 
 
-@register("typosquats", """
-SELECT case_id, pid, 'svchost.exe' AS resembles FROM proc WHERE image = 'svch0st.exe'""", "proc")
+# a third of the processes bear the name of a part with a letter changed
+_IMAGES = """
+SELECT case_id, pid, CASE WHEN pid % 3 = 0 THEN replace(p_name, 'i', 'l') || '.exe' ELSE image END AS image
+FROM ({proc}) p JOIN {part} ON p_partkey = pid % (SELECT count(*) FROM {part})"""
+_KNOWN = """
+SELECT DISTINCT p_name || '.exe' AS name FROM {part} UNION
+SELECT name FROM (VALUES ('svchost.exe'), ('lsass.exe'), ('explorer.exe'), ('services.exe'), ('csrss.exe'), ('smss.exe'),
+  ('wininit.exe'), ('winlogon.exe'), ('conhost.exe'), ('dllhost.exe'), ('powershell.exe'), ('winword.exe'), ('fontdrvhost.exe'), ('chrome.exe')) k(name)"""
+
+
+@register("typosquats", f"""
+WITH i AS ({duck_sql(_IMAGES.replace("({proc})", "proc"))}), k AS ({duck_sql(_KNOWN)}),
+m AS (SELECT image, string_agg(name, ',' ORDER BY name) AS resembles FROM (SELECT DISTINCT image FROM i) JOIN k
+  ON levenshtein(lower(image), name) BETWEEN 1 AND 2
+  WHERE lower(image) NOT IN (SELECT name FROM k UNION SELECT left(name, {rules.NAME_LIMIT}) FROM k) GROUP BY image)
+SELECT case_id, pid, resembles FROM i JOIN m USING (image)""", "proc")
 def typosquats(spark, sf):
-    known = ["svchost.exe", "lsass.exe", "explorer.exe", "services.exe", "csrss.exe", "smss.exe",
-             "wininit.exe", "winlogon.exe", "conhost.exe", "dllhost.exe", "powershell.exe",
-             "winword.exe", "fontdrvhost.exe", "chrome.exe"]
-    p = view(spark, sf, "proc").where("image NOT IN ('dwm.exe', 'cmd.exe')")
-    return det.typosquats(p, known).select("case_id", "pid", F.array_join("resembles", ",").alias("resembles"))
+    sql = _IMAGES.replace("{proc}", PROCESSES)
+    return det.typosquats(run_sql(spark, sf, sql), run_sql(spark, sf, _KNOWN)).select(
+        "case_id", "pid", F.array_join("resembles", ",").alias("resembles"))
 
 
 @register("parentage", """
