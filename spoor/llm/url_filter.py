@@ -1,8 +1,8 @@
 """URL verdicts by rules and by a tree of path templates, with DataFrame operations only.
 
 Rules decide first. The URLs they decide are the labels from which templates are judged:
-per host, a path segment stays as it is if it takes a fair share of its place in the tree,
-and becomes a wildcard otherwise; branches of a host whose block rates do not differ from
+per host, a path segment stays as it is if enough URLs have it at its place in the tree, and
+becomes a wildcard otherwise, level by level down to the last segment; branches of a host whose block rates do not differ from
 the host's in a two-proportion test are merged; a template's rate is smoothed towards that
 of the same path on all hosts, and that towards the rate of the whole table. Templates whose
 smoothed purity, the share of allowed URLs, is under one half are rejected.
@@ -14,13 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spoor.llm.common import cut
 
-# levels of the tree; what lies deeper is one wildcard
-DEPTH = 3
-# a segment is literal with at least this share of its place, and this many URLs
-SHARE, SUPPORT = 0.05, 3
+SUPPORT = 3  # URLs at its place that keep a segment literal
+FLAT = 4  # levels between two cuts of the lineage
 WEIGHT = 5.0
 PURITY = 0.5
 Z = 1.96
@@ -58,25 +57,32 @@ def by_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
+def shared_depth(df: DataFrame) -> int:
+    """The deepest level at which ``SUPPORT`` URLs of one host have a segment.
+
+    Below it every segment is a wildcard. The driver sees one number.
+    """
+    depths = df.groupBy("host", (F.size("_p") - 1).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    deeper = Window.partitionBy("host").orderBy(F.col("d").desc())
+    enough = depths.withColumn("m", F.sum("n").over(deeper)).where(F.col("m") >= SUPPORT)
+    return enough.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
+
+
 def with_template(df: DataFrame) -> DataFrame:
     """``df`` with ``template``, its path with variable segments as ``*``.
 
-    Per level, the literal children of a place are few by their share; their table is made
-    by aggregates with map-side combine and joined back to the rows.
+    Per level, the literal children of a place are found by an aggregate with map-side combine
+    and joined back to the rows. There are as many levels as URLs of a host share.
     """
-    parts = F.split("path", "/")
-    out = df.withColumns({"_p": parts, "template": F.lit("")})
-    for level in range(1, DEPTH + 1):
-        here = F.expr(f"get(_p, {level})")
-        out = out.withColumn("_s", here)
-        children = (
-            out.where(F.col("_s").isNotNull()).groupBy("host", "template", "_s").agg(F.count(F.lit(1)).alias("c"))
-        )
-        places = children.groupBy("host", "template").agg(F.sum("c").alias("all"))
+    out = cut(df.withColumns({"_p": F.split("path", "/"), "template": F.lit("")}))
+    last = shared_depth(out)
+    for level in range(1, last + 1):
+        out = out.withColumn("_s", F.expr(f"get(_p, {level})"))
         literal = (
-            children.where(F.col("c") >= SUPPORT)
-            .join(places, ["host", "template"])
-            .where(F.col("c") >= SHARE * F.col("all"))
+            out.where(F.col("_s").isNotNull())
+            .groupBy("host", "template", "_s")
+            .agg(F.count(F.lit(1)).alias("c"))
+            .where(F.col("c") >= SUPPORT)
             .select("host", "template", "_s", F.lit(True).alias("_keep"))
         )
         out = out.join(literal, ["host", "template", "_s"], "left").withColumn(
@@ -85,10 +91,10 @@ def with_template(df: DataFrame) -> DataFrame:
                 F.concat("template", F.lit("/"), F.when(F.col("_keep"), F.col("_s")).otherwise("*"))
             ),
         ).drop("_keep", "_s")
-    deeper = F.size("_p") > DEPTH + 1
-    return out.withColumn(
-        "template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    ).drop("_p")
+        if level % FLAT == 0:
+            out = cut(out)
+    rest = F.greatest(F.size("_p") - 1 - last, F.lit(0))
+    return out.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).drop("_p")
 
 
 def template_rates(marked: DataFrame) -> DataFrame:
@@ -154,7 +160,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url_col: str = "url", id_col: st
 
 
 ORACLE = f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id AS id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
 fits AS (
@@ -169,8 +175,12 @@ ruled AS (
   FROM fits),
 l0 AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
   string_split(path, '/') AS p, '' AS t FROM ruled),
-{{levels}}
-marked AS (SELECT *, t || CASE WHEN len(p) > {DEPTH + 1} THEN '/**' ELSE '' END AS template FROM l{DEPTH}),
+l AS (
+  SELECT id, host, path, rule, ruled, p, 1 AS k, t FROM l0
+  UNION ALL SELECT id, host, path, rule, ruled, p, k + 1,
+    t || '/' || CASE WHEN count(*) OVER (PARTITION BY host, t, p[k + 1]) >= {SUPPORT} THEN p[k + 1] ELSE '*' END
+  FROM l WHERE len(p) > k),
+marked AS (SELECT *, t AS template FROM l WHERE k = len(p)),
 counts AS (SELECT host, template, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM marked GROUP BY ALL),
 whole AS (SELECT sum(n) AS wn, sum(b) AS wb FROM counts),
 paths AS (SELECT template, (sum(b) + {WEIGHT} * ((SELECT wb FROM whole) + 1) / ((SELECT wn FROM whole) + 2)) / (sum(n) + {WEIGHT}) AS prior
@@ -184,14 +194,3 @@ rates AS (SELECT host, template, (CASE WHEN alike THEN mb ELSE b END + {WEIGHT}
 SELECT id AS page_id, host, path, rule, coalesce(ruled, CASE WHEN 1 - rate < {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM marked JOIN rates USING (host, template)
 """
-LEVEL = """
-c{k} AS (SELECT host, t, p[{k} + 1] AS s, count(*) AS c FROM l{j} WHERE len(p) > {k} GROUP BY ALL),
-k{k} AS (SELECT host, t, s FROM (SELECT *, sum(c) OVER (PARTITION BY host, t) AS a FROM c{k}) WHERE c >= {support} AND c >= {share} * a),
-l{k} AS (SELECT l.id, l.host, l.path, l.rule, l.ruled, l.p, l.t || CASE WHEN len(l.p) <= {k} THEN ''
-    WHEN k.s IS NULL THEN '/*' ELSE '/' || k.s END AS t
-  FROM l{j} l LEFT JOIN k{k} k ON l.host = k.host AND l.t = k.t AND l.p[{k} + 1] = k.s),
-"""
-ORACLE = ORACLE.replace(
-    "{levels}",
-    "".join(LEVEL.format(k=k, j=k - 1, support=SUPPORT, share=SHARE) for k in range(1, DEPTH + 1)),
-)

@@ -104,6 +104,39 @@ def test_templates_generalise_and_judge(spark):
         ("h.com", "/fr/*", "allow"), ("h.com", "/de/*", "block"), ("h.net", "/fr/*", "allow"), ("h.net", "/de/*", "block")}
 
 
+def test_many_equal_sections_are_judged_apart(spark):
+    """No section is too small a part of a large host to have a verdict of its own."""
+    urls = [f"http://big.com/sec{s:02d}/{'x' if i < 10 else 'p'}{i}" for s in range(25) for i in range(50)]
+    rules = [("block", "big.com", "/sec00/x"), ("allow", "big.com", "/sec01/x")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filter.judge(df, rules).collect()
+    assert {r["template"] for r in out} == {f"/sec{s:02d}/*" for s in range(25)}
+    verdicts = {(r["template"], r["verdict"]) for r in out if r["rule"] is None}
+    assert ("/sec00/*", "block") in verdicts and ("/sec01/*", "allow") in verdicts
+    assert ("/sec00/*", "allow") not in verdicts and ("/sec01/*", "block") not in verdicts
+
+
+def brute_templates(paths):
+    """Templates of the paths of one host, level by level."""
+    parts = [p.split("/") for p in paths]
+    found = [""] * len(paths)
+    for level in range(1, max(map(len, parts))):
+        here = Counter((found[i], p[level]) for i, p in enumerate(parts) if len(p) > level)
+        found = [
+            t if len(p) <= level else f"{t}/{p[level] if here[t, p[level]] >= url_filter.SUPPORT else '*'}"
+            for t, p in zip(found, parts)
+        ]
+    return found
+
+
+def test_templates_of_any_depth_match_brute_force(spark):
+    paths = ["", "/", "/a"] + ["/" + "/".join(R.choice(["a", "b", "c", str(R.randint(0, 99)), ""]) for _ in range(R.randint(1, 9))) for _ in range(300)]
+    paths += ["/deep" * 30 + f"/{k}/end" for k in range(4)] + ["/only/one/so/deep" * 20]
+    df = spark.createDataFrame([(i, "http://h.com" + p) for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r["id"]: r["template"] for r in url_filter.judge(df, queries.URL_RULES).collect()}
+    assert [got[i] for i in range(len(paths))] == brute_templates(paths)
+
+
 def brute_mix(rows, goal=None):
     tokens = lambda t: len(t) - len(t.translate({32: None, 9: None, 10: None})) + 1 if t else 0
     key = lambda r: "n" if r[2] is None else "s" + r[2]
