@@ -1,23 +1,26 @@
 """Benchmark passages inside documents: SimHash windows, multi-index blocks, exact check.
 
-Every window of a document that is as long as a benchmark item, and holds one of that
-item's shingles where the item has it, gets a SimHash fingerprint. Multi-index Hamming
-tables of the items' fingerprints give all items within the radius; the similarity of the
-two weighted shingle sets then decides.
-
-Words are runs of letters and digits, lower-cased. A shingle is five words, or all words of
-a shorter item, and weighs as often as it occurs. The similarity of an item and a window is
-the shared weight over the item's weight, so a match needs a shared shingle: windows
-without one are left out before any fingerprint, at no loss.
+A window of a document that is as long as a benchmark item gets a SimHash fingerprint if
+enough of its shingles belong to items of that length, wherever they stand. Multi-index
+Hamming tables of the items' fingerprints give all items within the radius; the similarity
+of the two weighted shingle sets then decides.
+
+Words are runs of letters and digits, lower-cased; each character of a script that is
+written without spaces is a word. A shingle is five words, or all words of a shorter item,
+and weighs as often as it occurs. The similarity of an item and a window is the shared
+weight over the item's weight. It cannot exceed the share of the window's shingles that
+belong to any item of that length, so the other windows are left out at no loss.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +42,22 @@ for low, high in ((48, 58), (97, 123), (128, 256)):
 BALLS = np.array([v for v in range(256) if bin(v).count("1") <= BALL])
 
 
+# most texts hold nothing beyond ASCII and accented Latin letters
+UNUSUAL = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7f]+")
+# scripts that are written without spaces: each character is a word
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*")
+
+
 def words_of(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text."""
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    """Hashes of the words of a text: runs of letters, marks and digits in small letters.
+
+    Each character of a script that is written without spaces is a word.
+    """
+    low = (text or "").lower()
+    if UNUSUAL.search(low):
+        low = UNSPACED.sub(r" \g<0> ", NO_LETTER.sub(" ", low))
+    raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
     data = np.full(len(raw) + 2, 32, np.uint64)
     data[1:-1] = WORD_BYTES[raw]
     return word_hashes(data)[0]
@@ -90,7 +106,7 @@ class Block:
         self.rows: list[np.ndarray] = []
         self.size: list[int] = []
         self.sized: dict[int, Sized] = {}
-        owner, offset = [], []
+        owner = []
         for item_id, text in items:
             words = words_of(text)
             if not len(words):
@@ -98,7 +114,6 @@ class Block:
             rows = shingles_of(words, min(SHINGLE, len(words)))
             self.sized.setdefault(len(words), Sized()).items.append(len(self.ids))
             owner.append(np.full(len(rows), len(self.ids)))
-            offset.append(np.arange(len(rows)))
             self.ids.append(item_id)
             self.rows.append(rows)
             self.size.append(len(words))
@@ -108,7 +123,6 @@ class Block:
             flat[order], return_index=True, return_counts=True
         )
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, int)
-        self.offset = np.concatenate(offset)[order] if offset else np.zeros(0, int)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.short = sorted({min(SHINGLE, n) for n in self.size})
@@ -138,20 +152,27 @@ class Block:
         return [(self.ids[i], *best[i]) for i in sorted(best)]
 
     def _windows(self, words, rows, k, hits, place, best) -> None:
-        found: dict[int, list[np.ndarray]] = {}
+        """Every window that can reach the similarity, wherever its shared shingles stand.
+
+        A window shares no more shingles with an item than it has places whose shingle belongs
+        to some item of that size; running sums of such places tell the windows with enough.
+        """
+        marks: dict[int, np.ndarray] = {}
         for at in range(0, len(hits), 4096):
             many = self.count[place[at : at + 4096]]
             ends = np.cumsum(many)
             posting = np.arange(ends[-1]) - np.repeat(ends - many - self.first[place[at : at + 4096]], many)
-            start = np.repeat(hits[at : at + 4096], many) - self.offset[posting]
+            spot = np.repeat(hits[at : at + 4096], many)
             size = self.sizes[self.owner[posting]]
             for n in np.unique(size):
                 if min(SHINGLE, n) == k:
-                    top = max(0, len(words) - n)
-                    found.setdefault(int(n), []).append(np.unique(np.clip(start[size == n], 0, top)))
-        for n, parts in found.items():
-            group, starts = self.sized[n], np.unique(np.concatenate(parts))
-            m = min(n, len(words)) - k + 1
+                    marks.setdefault(int(n), np.zeros(len(rows), bool))[spot[size == n]] = True
+        for n, mark in marks.items():
+            group, m = self.sized[n], min(n, len(words)) - k + 1
+            sums = np.zeros(len(rows) + 1, np.int64)
+            np.cumsum(mark, out=sums[1:])
+            shared = sums[m:] - sums[:-m]
+            starts = np.flatnonzero(shared >= SIMILARITY * (n - k + 1) - 1e-9)
             for at in range(0, len(starts), max(1, 50_000 // m)):
                 some = starts[at : at + max(1, 50_000 // m)]
                 windows = rows[some[:, None] + np.arange(m)]

@@ -121,6 +121,26 @@ def test_leaks_match_brute_force(spark, docs_of):
     assert decontam.contaminated(docs_of([]), table).count() == 0
 
 
+def test_leaks_in_another_order_and_in_other_scripts(spark, docs_of):
+    r = random.Random(17)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    item, around = words(60), words(400)
+    chinese = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(80))
+    quoted = [f"\u201c{w}\u201d" if i % 4 == 0 else w for i, w in enumerate(item)]
+    items = [(1, " ".join(item)), (2, chinese), (3, None), (4, "\u201c\u2026\u201d")]
+    rows = [
+        (1, " ".join(around[:200] + item[30:] + item[:30] + around[200:])),  # halves swapped
+        (2, " ".join(around[:90] + quoted + around[90:])),
+        (3, "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(50)) + chinese + "\u3002" + "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(50))),
+        (4, " ".join(around)), (5, "\u2026 \u201c\u201d"), (6, None),
+        (7, " ".join(w for w in item for _ in range(9))),  # every word nine times: no shingle
+        (8, " ".join(around * 300 + item)),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs_of(rows), table).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (8, 1)}
+
+
 def test_radius_is_guaranteed_by_the_tables():
     r = random.Random(8)
     for _ in range(200):
