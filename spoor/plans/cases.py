@@ -456,11 +456,11 @@ def network_clusters(spark, sf):
 
 
 @register("timeline", """
-WITH t AS (SELECT event_id, user_id % 3 AS c, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'),
+WITH t AS (SELECT event_id, user_id % 3 AS c, epoch_us(ts) AS us FROM events),
 g AS (SELECT event_id, us - lag(us) OVER (PARTITION BY c ORDER BY us, event_id) AS gap FROM t)
 SELECT event_id, gap AS gap_us, CASE WHEN gap > 7200000000 THEN 'Note: ' || CAST(floor(gap / 3600000000) AS BIGINT) || '-hour gap' END AS note FROM g""")
 def timeline(spark, sf):
-    e = load(spark, sf, "events").where("event_type = 'purchase'").select(
+    e = load(spark, sf, "events").select(
         "event_id", F.col("event_id").alias("ord"), "ts", (F.col("user_id") % 3).cast("string").alias("case_id"),
         F.lit("CONFIRMED").alias("verdict"))
     return report.timeline(e, 7200).select(

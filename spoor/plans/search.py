@@ -68,7 +68,7 @@ def pivot_hits(spark, sf):
 @register("pivot_path_keys", """
 WITH p AS (SELECT p_partkey AS finding_id, lower('C:' || chr(92) || p_type || chr(92) || p_name || CAST(p_partkey % 30 AS STRING)) AS term FROM part),
 l AS (SELECT line_no, lower(path) AS path FROM (SELECT o_orderkey AS line_no,
-  'x C:' || chr(92) || p_type || chr(92) || p_name || CAST(p_partkey % 60 AS STRING) || '.exe' AS path FROM orders JOIN part ON p_partkey = o_orderkey % 2000))
+  'x C:' || chr(92) || p_type || chr(92) || p_name || CAST(p_partkey % 60 AS STRING) || '.exe' AS path FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)))
 SELECT finding_id, line_no FROM p JOIN l ON contains(l.path, p.term)""")
 def pivot_path_keys(spark, sf):
     part = load(spark, sf, "part")
@@ -77,7 +77,7 @@ def pivot_path_keys(spark, sf):
         return F.concat(F.lit("C:\\"), "p_type", F.lit("\\"), "p_name", (F.col("p_partkey") % n).cast("string"))
 
     keys = part.select(F.col("p_partkey").alias("finding_id"), path(30).alias("term"), F.lit("path").alias("mode"))
-    lines = load(spark, sf, "orders").join(part, F.col("o_orderkey") % 2000 == F.col("p_partkey")).select(
+    lines = load(spark, sf, "orders").join(part, F.col("o_orderkey") % part.count() == F.col("p_partkey")).select(
         F.lit("f.txt").alias("source_file"), F.col("o_orderkey").alias("line_no"),
         F.concat(F.lit("x "), path(60), F.lit(".exe")).alias("content"))
     return ops.pivot_hits(keys, lines).select("finding_id", "line_no")

@@ -148,26 +148,27 @@ def _history(spark, sf):
     pages = load(spark, sf, "pages")
     ev = load(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    joined = ev.join(pages, ev["event_id"] == pages["page_id"])
+    # every event is a visit of some page
+    joined = ev.join(pages, ev["event_id"] % pages.count() == pages["page_id"])
     urls = joined.select("url", F.lit("t").alias("title"), (us + F.lit(11644473600000000)).alias("last_visit_time"))
     downloads = joined.select(
         F.concat(F.lit("C:\\d\\f"), _text("page_id"), F.when(F.col("page_id") % 2 == 0, ".exe").otherwise(".pdf")).alias("target_path"),
         F.col("url").alias("tab_url"), (us + F.lit(11644473600000000)).alias("start_time"))
-    places = joined.select(F.col("page_id").alias("id"), "url", us.alias("last_visit_date"))
-    annos = joined.select(F.col("page_id").alias("place_id"), (F.col("page_id") % 3).alias("anno_attribute_id"),
-                          F.concat(F.lit("file:///f"), _text("page_id")).alias("content"), us.alias("dateAdded"))
+    places = joined.select(F.col("event_id").alias("id"), "url", us.alias("last_visit_date"))
+    annos = joined.select(F.col("event_id").alias("place_id"), (F.col("event_id") % 3).alias("anno_attribute_id"),
+                          F.concat(F.lit("file:///f"), _text("event_id")).alias("content"), us.alias("dateAdded"))
     attrs = spark.range(3).select("id", F.when(F.col("id") == 1, "downloads/destinationFileURI").otherwise("x").alias("name"))
     return tables.browser_history(urls, downloads, places, annos, attrs)
 
 
-_PAGE = "(SELECT page_id, url, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM pages JOIN events ON event_id = page_id)"
+_PAGE = "(SELECT event_id, page_id, url, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages))"
 
 
 @register("browser_history", f"""
 SELECT 'chrome' AS browser, 'visit' AS event, url, t AS visit_time, NULL AS download_path, NULL AS download_start FROM {_PAGE}
 UNION ALL SELECT 'chrome', 'download', url, NULL, 'C:' || chr(92) || 'd' || chr(92) || 'f' || page_id || CASE WHEN page_id % 2 = 0 THEN '.exe' ELSE '.pdf' END, t FROM {_PAGE}
 UNION ALL SELECT 'firefox', 'visit', url, t, NULL, NULL FROM {_PAGE}
-UNION ALL SELECT 'firefox', 'download', url, NULL, 'file:///f' || page_id, t FROM {_PAGE} WHERE page_id % 3 = 1""")
+UNION ALL SELECT 'firefox', 'download', url, NULL, 'file:///f' || event_id, t FROM {_PAGE} WHERE event_id % 3 = 1""")
 def browser_history(spark, sf):
     return _history(spark, sf).select("browser", "event", "url", "visit_time", "download_path", "download_start")
 
