@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.scale import small_side
 
+# lists up to this length are tested in the row itself, without a join
+INLINE = 64
+
 
 def plain_path(c: Column) -> Column:
     """Small letters, backslashes, no quotes before it, no drive and no separators in front."""
@@ -14,60 +20,169 @@ def plain_path(c: Column) -> Column:
     return F.regexp_replace(low, r'^[" ]*(?:[a-z]:)?\\*', "")
 
 
-def _heads(path: Column) -> Column:
-    """The folders above a path, each with its last separator, and the empty one."""
-    parts = F.split(path, r"\\")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(
-            F.concat(F.array_join(F.slice(parts, F.lit(1), i), "\\"), F.lit("\\"))
+@dataclass(frozen=True)
+class Product:
+    """The prefixes ``head + tail`` of all pairs of ``heads(head, *link)`` and ``tails(tail, *link)``
+    that agree in ``link``, with one rule. The pairs are never built, so such a list costs what its
+    two tables do. No head may be blank or end in a blank."""
+
+    heads: DataFrame
+    tails: DataFrame
+    link: Sequence[str] = ()
+    rule: str | None = None
+
+
+def _listed(prefix: Column) -> Column:
+    """The shape of a prefix: how many separators it has, and the characters after the last."""
+    return F.struct(
+        (F.length(prefix) - F.length(F.replace(prefix, F.lit("\\"), F.lit("")))).alias("depth"),
+        F.length(F.substring_index(prefix, "\\", -1)).alias("tail"),
+    )
+
+
+def _ways(listed: DataFrame, prefix: str) -> list:
+    """The distinct shapes of a list: depths and lengths of names, a few hundred pairs at most."""
+    return sorted(listed.select(_listed(F.col(prefix)).alias("s")).select("s.*").distinct().collect())
+
+
+def _keys(ways: Sequence, parts: str = "_parts", ends: str = "_ends") -> Column:
+    """The heads of ``_p`` that have one of the shapes. No two shapes give the same head."""
+    shapes = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d, t in ways])
+    fit = F.filter(shapes, lambda s: (s["d"] < F.size(parts)) & (s["t"] <= F.length(F.get(F.col(parts), s["d"]))))
+    return F.transform(fit, lambda s: F.substring(F.col("_p"), F.lit(1), F.get(F.col(ends), s["d"]) + s["t"]))
+
+
+def _cut(df: DataFrame, path: Column, longest: int) -> DataFrame:
+    """``df`` with the plain path ``_p`` as far as prefixes go, its folders and where each begins."""
+    plain = df.withColumn("_p", F.substring(plain_path(path), 1, longest + 1))
+    return plain.withColumn("_parts", F.split("_p", r"\\")).withColumn(
+        "_ends",
+        F.expr(
+            r"transform(sequence(0, size(_parts) - 1), i ->"
+            r" CASE WHEN i = 0 THEN 0 ELSE length(substring_index(_p, '\\', i)) + 1 END)"
         ),
     )
 
 
-def longest_prefix(paths: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """``(path, prefix)``: the longest prefix of ``table`` with which each distinct path starts.
+def _longest(listed: DataFrame, column: str) -> int:
+    return listed.agg(F.coalesce(F.max(F.length(column)), F.lit(0))).first()[0]
+
+
+def _inline(listed: DataFrame) -> list[str] | None:
+    """The prefixes of a short list, else None."""
+    few = [r[0] for r in listed.select("_key").limit(INLINE + 1).collect()]
+    return few if len(few) <= INLINE else None
+
 
-    Both sides are compared by :func:`plain_path`. A path is cut into its folders, each carried
-    on by as many characters as prefixes go beyond a separator, and met with the table by
-    equality; so a list may have millions of prefixes, and no path meets more of them than it
-    has folders. Paths with no prefix are left out; an empty prefix fits every path.
+def _inline_length(few: Sequence[str], ways: Sequence) -> Column:
+    """The length of the longest of ``few`` prefixes that ``_p`` has; null if it has none."""
+    known = F.array(*[F.lit(k) for k in few])
+    return F.array_max(F.transform(F.filter(_keys(ways), lambda k: F.array_contains(known, k)), F.length))
+
+
+def _lengths(paths: DataFrame, listed: DataFrame, products: Sequence[Product], path: str) -> DataFrame:
+    """``(path, n0, n1, ...)``: the length of the longest prefix of each distinct path in the list
+    and in each product, null where there is none; paths without any are left out.
+
+    A path meets the list by equality, once for each shape of prefix it is long enough for, and
+    a product by its head first and then by what follows the head.
     """
-    listed = table.select(plain_path(F.col("prefix")).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    tail = F.length(F.substring_index("_key", "\\", -1))
-    limits = listed.agg(
-        F.collect_set(tail).alias("tails"), F.coalesce(F.max(F.length("_key")), F.lit(0)).alias("longest")
-    ).first()  # lengths of names: a few hundred numbers at most
-    if not limits["tails"]:
-        return paths.select(F.col(path).alias("path"), F.lit(None).cast("string").alias("prefix")).limit(0)
+    pairs = []
+    for one in products:
+        # the sign behind the head keeps its own end from being trimmed
+        heads = one.heads.select(*one.link, plain_path(F.concat("head", F.lit("x"))).alias("_h")).select(
+            *one.link, F.expr("substring(_h, 1, length(_h) - 1)").alias("_key")
+        )
+        tails = one.tails.select(*one.link, F.rtrim(F.replace(F.lower("tail"), F.lit("/"), F.lit("\\"))).alias("_tail"))
+        pairs.append((heads.where(F.col("_key").isNotNull()).distinct(), tails.where(F.col("_tail").isNotNull()).distinct(), one.link))
+    longest = max([_longest(listed, "_key"), *[_longest(h, "_key") + _longest(t, "_tail") for h, t, _ in pairs]])
     distinct = paths.select(F.col(path).alias("path")).where(F.col(path).isNotNull()).distinct()
-    # nothing beyond the longest prefix can matter
-    cut = distinct.withColumn("_p", F.substring(plain_path(F.col("path")), 1, limits["longest"] + 1))
-    tails = F.array(*[F.lit(t) for t in sorted(limits["tails"])])
-    heads = cut.select("path", "_p", F.explode(_heads(F.col("_p"))).alias("_head"))
-    keys = heads.select(
-        "path", "_p", "_head", F.explode(tails).alias("_tail")
-    ).select(
-        "path", F.substring("_p", F.lit(1), F.length("_head") + F.col("_tail")).alias("_key"),
-        F.col("_tail"), F.length("_head").alias("_n"),
-    ).where(F.length("_key") == F.col("_n") + F.col("_tail"))
-    met = keys.select("path", "_key").distinct().join(small_side(listed), "_key")
-    return met.groupBy("path").agg(F.max_by("_key", F.length("_key")).alias("prefix"))
-
-
-def prefix_rules(df: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """``df`` with ``prefix`` and ``rule`` of its longest prefix in ``table(prefix, rule)``.
+    cut = _cut(distinct, F.col("path"), longest)
+    names = [f"n{i}" for i in range(len(pairs) + 1)]
+    lengths = lambda i, n: [n.alias(c) if c == f"n{i}" else F.lit(None).cast("int").alias(c) for c in names]
+    found = []
+    ways = _ways(listed, "_key")
+    if ways:
+        met = cut.select("path", F.explode(_keys(ways)).alias("_key")).join(small_side(listed.select("_key")), "_key")
+        found.append(met.select("path", *lengths(0, F.length("_key"))))
+    for i, (heads, tails, link) in enumerate(pairs, 1):
+        ways = _ways(heads, "_key")
+        sizes = sorted(r[0] for r in tails.select(F.length("_tail")).distinct().collect())
+        if not ways or not sizes:
+            continue
+        met = cut.select("path", "_p", F.explode(_keys(ways)).alias("_key")).join(small_side(heads), "_key")
+        rest = F.expr("substring(_p, length(_key) + 1)")
+        begun = F.transform(
+            F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.length("_rest")),
+            lambda s: F.substring(F.col("_rest"), F.lit(1), s),
+        )
+        met = met.select("path", *link, F.length("_key").alias("_n"), rest.alias("_rest")).select(
+            "path", *link, "_n", F.explode(begun).alias("_tail")
+        ).join(small_side(tails), [*link, "_tail"])
+        found.append(met.select("path", *lengths(i, F.col("_n") + F.length("_tail"))))
+    if not found:
+        return distinct.limit(0).select("path", *lengths(0, F.lit(0)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("path").agg(*[F.max(c).alias(c) for c in names])
+
+
+def _plain_list(table: DataFrame) -> DataFrame:
+    return table.withColumn("_key", plain_path(F.col("prefix"))).where(F.col("_key").isNotNull())
+
+
+def _head(path: str, n: str) -> Column:
+    return F.substring(plain_path(F.col(path)), F.lit(1), F.col(n))
+
+
+def longest_prefix(
+    paths: DataFrame, table: DataFrame, path: str = "path", products: Sequence[Product] = ()
+) -> DataFrame:
+    """``(path, prefix)``: the longest prefix of ``table`` or ``products`` with which each distinct
+    path starts.
+
+    Both sides are compared by :func:`plain_path`. A path is cut after its folders, each carried
+    on by as many characters as prefixes of that depth have behind their last separator, and met
+    with the table by equality; so a list may have millions of prefixes, and no path meets more of
+    them than there are such shapes. Paths with no prefix are left out; an empty prefix fits every
+    path.
+    """
+    listed = _plain_list(table).select("_key").distinct()
+    met = _lengths(paths, listed, products, path)
+    best = F.greatest(*[F.col(c) for c in met.columns[1:]], F.lit(-1))
+    return met.withColumn("_n", best).select("path", _head("path", "_n").alias("prefix"))
+
+
+def prefix_rules(
+    df: DataFrame, table: DataFrame, path: str = "path", products: Sequence[Product] = ()
+) -> DataFrame:
+    """``df`` with ``prefix`` and ``rule`` of its longest prefix in ``table(prefix, rule)`` or ``products``.
 
     Null where no prefix fits. If a prefix is listed with several rules, the smallest counts.
     """
-    rules = table.select(plain_path(F.col("prefix")).alias("prefix"), "rule").groupBy("prefix").agg(
-        F.min("rule").alias("rule")
+    rules = _plain_list(table).groupBy("_key").agg(F.min("rule").alias("_r0"))
+    met = _lengths(df, rules, products, path)
+    met = met.withColumn("_n", F.greatest(*[F.col(c) for c in met.columns[1:]], F.lit(-1)))
+    met = met.withColumn("prefix", _head("path", "_n")).join(
+        small_side(rules.withColumnRenamed("_key", "prefix")), "prefix", "left"
     )
-    found = longest_prefix(df, table, path).join(small_side(rules), "prefix", "left")
-    return df.join(found.select(F.col("path").alias("_path"), "prefix", "rule"), F.col(path) == F.col("_path"), "left").drop("_path")
+    given = [F.when(F.col(f"n{i}") == F.col("_n"), F.lit(p.rule)) for i, p in enumerate(products, 1)]
+    found = met.select(F.col("path").alias("_path"), "prefix", F.least("_r0", F.lit(None), *given).alias("rule"))
+    return df.join(found, F.col(path) == F.col("_path"), "left").drop("_path")
 
 
 def drop_prefixed(df: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose path starts with no prefix of the table; null paths stay."""
-    found = longest_prefix(df, table, path).select(F.col("path").alias("_path"))
+    """Rows whose path starts with no prefix of the table; null paths stay.
+
+    A short list is tested in the row itself; a longer one is met once per distinct path.
+    """
+    listed = _plain_list(table).select("_key").distinct()
+    few = _inline(listed)
+    if few is not None:
+        if not few:
+            return df
+        tested = _cut(df, F.col(path), max(map(len, few))).withColumn("_n", _inline_length(few, _ways(listed, "_key")))
+        return tested.where(F.col("_n").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    found = _lengths(df, listed, (), path).select(F.col("path").alias("_path"))
     return df.join(found, F.col(path) == F.col("_path"), "left_anti")
