@@ -30,8 +30,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: SimHash groups by operator 1, then, of what they
+    left, texts whose shingle sets are alike but whose fingerprints are further apart."""
+    groups = simhash.near_groups(docs)
+    firsts = groups.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    return simhash.one_of_each(docs, among=firsts)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,10 +191,13 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 
 
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id, nulls last.
 
+    ``among(id)`` names the rows that an earlier step left, if there was one; the others go.
+
     Texts link when the sets of their ``k``-word shingles have a similarity of at least 0.8
     (4 of 5, counted exactly on 64-bit hashes); groups are connected. Texts that share a band
     of least hashes are compared: a pair at 0.8 is missed with probability 3e-6, a nearer one
@@ -221,6 +224,8 @@ def one_of_each(
             "_id", "_t", "_g", F.when(F.col("_g.n") == 0, F.lit(0).cast("long")).otherwise(F.col("_t")).alias("v")
         )
     )
+    if among is not None:  # the step before has chosen rows; their texts are not moved for it
+        marked = cut(marked.join(among, F.col("_id").eqNullSafe(among["id"].cast("long")), "left_semi"))
     classes = cut(marked.groupBy("v").agg(F.first("_g").alias("g")))
     texts = rows.select(F.col("__t").alias("v"), whole.alias("x"))
 

@@ -52,3 +52,19 @@ def test_stages_against_brute_force(spark):
     want = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in after["leaks"]])
     assert {(r["doc_id"], r["repeats"]) for r in after["mixture"]} == set(want)
     assert P.run(spark, SF).count() == len(after["mixture"])
+
+
+def test_copies_are_the_groups_of_operator_1_first(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"] for r in P.drop_copies(spark, docs, SF).collect()}
+    groups = simhash.near_groups(docs).collect()
+    assert any(r["id"] != r["component"] for r in groups)
+    assert kept <= {r["id"] for r in groups if r["id"] == r["component"]}
+
+
+def test_operator_1_decides_before_shingle_sets(spark, monkeypatch):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g h i j k l m n o p q"), (3, "u v w x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 9, 3)], "id long, fp long, component long")
+    monkeypatch.setattr(simhash, "near_groups", lambda d, *a: groups)
+    assert {r["doc_id"] for r in P.drop_copies(spark, docs, SF).collect()} == {1, 3}
