@@ -343,9 +343,13 @@ def entropy(df: DataFrame, key: Sequence[str], text: str, digits: int = 3) -> Da
     body = F.col(text).cast("binary")
     last = F.floor(F.greatest(F.octet_length(body) - 1, F.lit(0)) / SLICE).cast("int")
     slices = df.select(*key, body.alias("_body"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-    part = F.hex(F.substring("_body", F.col("_i") * SLICE + 1, SLICE))
-    symbols = slices.select(
-        *key, F.explode(F.regexp_extract_all(part, F.lit("(..)"), F.lit(1))).alias("_s")
+    cut = slices.select(*key, F.substring("_body", F.col("_i") * SLICE + 1, SLICE).alias("_part")).where(
+        F.octet_length("_part") > 0
+    )
+    # one byte a row, taken by its place: bytes are not written out as text
+    places = F.explode(F.sequence(F.lit(1), F.octet_length("_part"))).alias("_at")
+    symbols = cut.select(*key, "_part", places).select(
+        *key, F.substring("_part", F.col("_at"), F.lit(1)).alias("_s")
     )
     n = F.col("_n")
     return (

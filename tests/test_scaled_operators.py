@@ -264,3 +264,30 @@ def test_a_product_of_prefixes_equals_the_list_of_its_pairs(spark):
     assert {r["rule"] for r in got} == {None, "all", "a", "part"}
     longest = prefixes.longest_prefix(paths, table, products=[product]).collect()
     assert {tuple(r) for r in longest} == {(r["path"], r["prefix"]) for r in want if r["prefix"]}
+
+
+def test_entropy_takes_bytes_without_writing_them_as_text(spark):
+    import math
+    from collections import Counter
+
+    from spoor.operators import files
+
+    texts = [(1, "Grüße aus aaaa"), (2, "a"), (3, ""), (4, None), (5, "xyz" * 5000 + "é" * 777)]
+    found = files.entropy(spark.createDataFrame(texts, "i int, t string"), ["i"], "t")
+    want = {}
+    for i, t in texts:
+        if t:
+            b = t.encode()
+            want[i] = round(abs(-sum(n / len(b) * math.log2(n / len(b)) for n in Counter(b).values())), 3)
+    assert {r["i"]: r["entropy"] for r in found.collect()} == want
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_task_definitions_are_dealt_to_all_cores(spark):
+    from spoor.sources import markup
+
+    xml = "<Task><Actions><Exec><Command>c</Command></Exec></Actions></Task>"
+    one = spark.range(40).select("id", F.lit(xml).alias("x"), F.lit("/t/T").alias("p")).coalesce(1)
+    got = markup.flatten_task_xml(one, "x", "p")
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert [r["action"] for r in got.collect()] == ["c"] * 40
