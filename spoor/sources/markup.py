@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoor import rules
 from spoor.functions import iso_z
+from spoor.scale import spread
 
 _EVENT_SCHEMA = (
     "System struct<EventID: struct<_VALUE: string, _Qualifiers: string>,"
@@ -89,7 +90,11 @@ def flatten_event_xml(
 
 
 def flatten_task_xml(df: DataFrame, xml_col: str, path_col: str) -> DataFrame:
-    """Scheduled-task records: triggers, actions, arguments, account, author, date."""
+    """Scheduled-task records: triggers, actions, arguments, account, author, date.
+
+    Each field parses the document again, so a small table is first dealt out to all cores.
+    """
+    df = spread(df)
 
     def step(*names: str) -> str:
         return "".join(f"/*[local-name()='{n}']" for n in names)
