@@ -44,11 +44,14 @@ def _one_of(items: Sequence[str]) -> str:
 def contains_any(c: Column, items: Sequence[str]) -> Column:
     """True when any item occurs in the text, ignoring case; false for null.
 
-    One pattern, so the text expression is evaluated once however long the list is.
+    One pattern, so the text expression is evaluated once however long the list is. The items
+    are tried only where the first letter of one stands.
     """
     if not items:
         return F.lit(False)
-    return F.coalesce(F.lower(c).rlike(_one_of(items)), F.lit(False))
+    first = "".join(sorted({re.escape(i.lower()[:1]) for i in items})) if all(items) else ""
+    ahead = f"(?=[{first}])" if first else ""
+    return F.coalesce(F.lower(c).rlike(ahead + _one_of(items)), F.lit(False))
 
 
 def starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:

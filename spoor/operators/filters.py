@@ -106,11 +106,13 @@ def emit_file_filter(
 ) -> DataFrame:
     """File records worth writing; unresolved paths (``<...``) and empty ones always pass."""
     p = F.col(path)
-    hot = contains_any(p, suspicious)
-    dropped = contains_any(p, subtrees) | (ext_in(p, noise) & ~hot)
+    # the filter is pushed below the projection that makes the path: each test makes it again,
+    # so each is written once, and the rare ones last
+    quiet = ~ext_in(p, noise)
     if only_suspicious:
-        dropped = dropped | ~(ext_in(p, images) | hot)
-    return df.where(~dropped | ~F.coalesce(p.rlike("^[^<]"), F.lit(False)))
+        quiet = ext_in(p, images) & quiet
+    kept = (contains_any(p, suspicious) | quiet) & ~contains_any(p, subtrees)
+    return df.where(kept | F.coalesce((p == "") | p.startswith("<"), F.lit(True)))
 
 
 def flag_suspicious(

@@ -115,3 +115,21 @@ def test_as_of_lookup(spark):
     right = spark.createDataFrame([(1, 95), (1, 100), (1, 150), (2, 60)], "k int, t int")
     got = {(r.k, r.t): r.previous for r in last_before(left, right, ["k"], F.col("t"), F.col("t"), 60).collect()}
     assert got == {(1, 100): 100.0, (1, 205): 150.0, (2, 50): None}
+
+
+def test_the_file_filter_reads_each_test_once(spark):
+    from spoor.operators.filters import emit_file_filter
+
+    paths = [None, "", "<lost>.bin", "a\\b.txt", "a\\b.EXE", "a\\b.exe\n", "a\\b.bin", "x\\Temp\\b.bin", "x\\temp\\b.mui",
+             "a\\b.mui", "Windows\\WinSxS\\Temp\\b.exe", "ProgramData", "ProgramDat\\a.dll"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id int, tail string").withColumn(
+        "path", F.concat(F.lit(""), "tail")
+    )
+
+    def ids(**kw):
+        return sorted(r["id"] for r in emit_file_filter(df, **kw).select("id").collect())
+
+    assert ids() == [0, 1, 2, 3, 4, 5, 7, 8, 11, 12]
+    assert ids(only_suspicious=True) == [0, 1, 2, 4, 5, 7, 8, 11, 12]
+    plan = emit_file_filter(df, only_suspicious=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("roaming") == 1
