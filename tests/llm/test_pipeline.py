@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from spoor.llm import quality, simhash
+from spoor.llm import common, quality, simhash
 from spoor.llm.common import held_out
 from pyspark.sql import functions as F
 
@@ -68,3 +68,27 @@ def test_operator_1_decides_before_shingle_sets(spark, monkeypatch):
     groups = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 9, 3)], "id long, fp long, component long")
     monkeypatch.setattr(simhash, "near_groups", lambda d, *a: groups)
     assert {r["doc_id"] for r in P.drop_copies(spark, docs, SF).collect()} == {1, 3}
+
+
+def test_rounds_of_a_small_graph_take_few_tasks(spark, monkeypatch):
+    kept, tasks, cut = {}, [], common.cut
+
+    def counted(df):
+        out = cut(df)
+        tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        kept[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    try:
+        monkeypatch.setattr(common, "cut", counted)
+        chains = [(100 * i + j, 100 * i + j + 1) for i in range(10) for j in range(20)]
+        links = spark.createDataFrame(chains, "a long, b long").repartition(8)
+        got = {r["v"]: r["root"] for r in common.components(links).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {100 * i + j: 100 * i for i in range(10) for j in range(21)}
+    assert len(tasks) > 2 and max(tasks[1:]) == 1
