@@ -121,3 +121,20 @@ def test_words_beyond_ascii(spark):
         F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(S.WORDS), F.lit(0)))).alias("want"),
     )
     assert both.where("got <> want").count() == 0
+
+
+def test_queries_that_share_a_needle_meet_its_first_lines_only(spark, monkeypatch):
+    asked = spark.createDataFrame(
+        [(f"q{i}", "domain", "evil.example") for i in range(300)], "query_id string, entity_type string, entity_value string"
+    )
+    lines = spark.createDataFrame(
+        [(f, i, f"seen evil.example at {i}") for f in ("b.txt", "a.txt") for i in range(200)],
+        "source_file string, line_no long, content string",
+    )
+    ranked, rank = [], S.capped_rank
+    monkeypatch.setattr(S, "capped_rank", lambda df, *a, **b: ranked.append(df.count()) or rank(df, *a, **b))
+    got = S.entity_lookup(asked, lines, S.type_files(spark, {"domain": ["b.txt", "a.txt"]}), 3).collect()
+    assert sorted((r["query_id"], r["source_file"], r["line_no"], r["rank"]) for r in got) == sorted(
+        (f"q{i}", "b.txt", n, n + 1) for i in range(300) for n in range(3)
+    )
+    assert max(ranked) <= 300 * 2 * 3
