@@ -42,8 +42,43 @@ def with_parent(proc: DataFrame) -> DataFrame:
 
 
 def merge_net(net: DataFrame) -> DataFrame:
-    """One row per connection; the first non-empty netstat state wins, else the first state."""
+    """One row per connection; the first non-empty netstat state wins, else the first state.
+
+    States go through the aggregate as numbers: with texts in its buffer it would sort all
+    rows twice by all columns of the key. The distinct states are few and are looked up after.
+    """
     key = ["case_id", "pid", "proto", "local_addr", "local_port", "foreign_addr", "foreign_port"]
+    state = F.nullif(F.col("state"), F.lit(""))
+    known = durable(net.select(state.alias("state")).where("state is not null").distinct())
+    known = known.select(F.xxhash64("state").alias("_code"), "state")
+    if not known.groupBy("_code").count().where("count > 1").isEmpty():
+        return _merge_net_by_text(net, key)
+    # unknown sources come first, netstat last, as in the order of the struct
+    stat = F.col("source") == "netstat"
+    places = {"none": stat.isNull(), "scan": ~stat, "stat": stat}
+    line = F.coalesce(F.col("line_no").cast("long"), F.lit(-(1 << 63)))
+    coded = net.select(
+        *key, F.when(state.isNotNull(), F.xxhash64(state)).alias("_code"),
+        *[F.when(is_it, line).alias(f"_{name}") for name, is_it in places.items()],
+    )
+    merged = coded.groupBy(*key).agg(
+        *[F.min(f"_{name}").alias(f"_{name}") for name in places],
+        *[F.min_by("_code", F.when(F.col("_code").isNotNull(), F.col(f"_{name}"))).alias(f"_{name}_code") for name in places],
+    )
+    code = F.coalesce("_stat_code", "_none_code", "_scan_code")
+    first = F.coalesce(*[
+        F.when(F.col(f"_{name}").isNotNull(), F.struct(
+            F.lit({"none": None, "scan": False, "stat": True}[name]).cast("boolean").alias("col1"),
+            F.nullif(F.col(f"_{name}"), F.lit(-(1 << 63))).alias("line_no")))
+        for name in ("none", "scan", "stat")
+    ])
+    return merged.select(*key, code.alias("_code"), first.alias("ord")).join(
+        small_side(known), "_code", "left"
+    ).select(*key, F.coalesce("state", F.lit("")).alias("state"), "ord")
+
+
+def _merge_net_by_text(net: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The same for states of which two have the same 64-bit hash."""
     order = F.struct(F.col("source") == "netstat", F.col("line_no"))
     state = F.nullif(F.col("state"), F.lit(""))
     stat = F.when(F.col("source") == "netstat", state)

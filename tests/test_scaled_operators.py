@@ -291,3 +291,25 @@ def test_task_definitions_are_dealt_to_all_cores(spark):
     got = markup.flatten_task_xml(one, "x", "p")
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert [r["action"] for r in got.collect()] == ["c"] * 40
+
+
+# ---- connections and child lists -------------------------------------------------
+
+
+def test_connections_merge_without_sorting_texts(spark):
+    rng = random.Random(19)
+    rows = [("c", 1 + i % 3, f"10.0.0.{rng.randrange(4)}", rng.choice(["", None, "CLOSED", "LISTEN", "SYN"]),
+             rng.choice(["netstat", "netscan", None]), rng.randrange(10_000) * 500 + i) for i in range(400)]
+    net = spark.createDataFrame(rows, "case_id string, pid bigint, foreign_addr string, state string, source string, line_no bigint")
+    net = net.withColumns({"proto": F.lit("TCP"), "local_addr": F.lit("a"), "local_port": F.lit("1"), "foreign_port": F.lit("2")})
+    want = {}
+    for key in {r[:3] for r in rows}:
+        mine = [r for r in rows if r[:3] == key]
+        rank = lambda r: ({None: 0, "netscan": 1, "netstat": 2}[r[4]], r[5])
+        named = [r for r in mine if r[3]]
+        best = [r for r in named if r[4] == "netstat"] or named
+        first = min(mine, key=rank)
+        want[key] = (min(best, key=rank)[3] if best else "", {0: None, 1: False, 2: True}[rank(first)[0]], first[5])
+    df = process.merge_net(net)
+    assert {(r.case_id, r.pid, r.foreign_addr): (r.state, *r.ord) for r in df.collect()} == want
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
