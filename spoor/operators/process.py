@@ -94,24 +94,28 @@ def _merge_net_by_text(net: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def _ordered(df: DataFrame, value: Column, name: str) -> DataFrame:
     """One ordered list per process. A list is part of the process row by contract."""
+    # sort_array compares natively; array_sort would run a lambda for every comparison
     return (
         df.groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("ord"), value.alias("v")))).alias("_l"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("ord"), value.alias("v")))).alias("_l"))
         .select(*KEY, F.col("_l")["v"].alias(name))
     )
 
 
-def collect_children(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def collect_children(tables: Mapping[str, DataFrame], lists: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Ordered lists per process, duplicates removed before anything is collected."""
     dll = tables["dll"].withColumn(
         "_v", F.coalesce(F.nullif(F.col("path"), F.lit("")), F.col("name"))
     ).withColumn("_k", F.lower("_v")).where(F.col("_k") != "")
-    dll = dll.groupBy(*KEY, "_k").agg(
+    # texts in the buffer make the aggregate sort by its keys in their order: the number comes first,
+    # because it decides most comparisons and the case next to none
+    dll = dll.groupBy("pid", "case_id", "_k").agg(
         F.min_by("_v", "line_no").alias("_v"), F.min("line_no").alias("ord")
     )
-    sid = tables["sid"].withColumn("_k", F.lower("sid")).groupBy(*KEY, "_k").agg(
-        F.min_by(F.struct("sid", "name"), "line_no").alias("_v"), F.min("line_no").alias("ord")
-    )
+    # equal sids, which are many, are first counted down to one row without any sort
+    sid = tables["sid"].groupBy(*KEY, "sid", "name").agg(F.min("line_no").alias("ord")).groupBy(
+        *KEY, F.lower("sid").alias("_k")
+    ).agg(F.min_by(F.struct("sid", "name"), "ord").alias("_v"), F.min("ord").alias("ord"))
 
     def barred(df: DataFrame, a: str, b: str) -> DataFrame:
         text = F.rtrim(F.concat_ws("|", a, b), F.lit("|"))
@@ -120,21 +124,25 @@ def collect_children(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     net_item = F.struct(
         "proto", "local_addr", "local_port", "foreign_addr", "foreign_port", "state"
     )
-    return {
-        "dlls": _ordered(dll, F.col("_v"), "dlls"),
-        "handles": _ordered(barred(tables["handle"], "type", "name"), F.col("_v"), "handles"),
-        "privs": _ordered(
+    made = {
+        "dlls": lambda: _ordered(dll, F.col("_v"), "dlls"),
+        "handles": lambda: _ordered(barred(tables["handle"], "type", "name"), F.col("_v"), "handles"),
+        "privs": lambda: _ordered(
             barred(tables["privilege"], "privilege", "attributes"), F.col("_v"), "privs"
         ),
-        "nets": _ordered(merge_net(tables["net"]), net_item, "nets"),
-        "sids": _ordered(sid, F.col("_v"), "sids"),
+        "nets": lambda: _ordered(merge_net(tables["net"]), net_item, "nets"),
+        "sids": lambda: _ordered(sid, F.col("_v"), "sids"),
     }
+    return {name: make() for name, make in made.items() if lists is None or name in lists}
 
 
-def assemble_process(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Process rows with their five child lists; empty lists where there is nothing."""
+def assemble_process(tables: Mapping[str, DataFrame], lists: Sequence[str] | None = None) -> DataFrame:
+    """Process rows with their five child lists; empty lists where there is nothing.
+
+    ``lists`` names those wanted: a left join is carried out even if nothing of it is read.
+    """
     proc = first_per_key(tables["process"], KEY, F.col("line_no"))
-    for name, df in collect_children(tables).items():
+    for name, df in collect_children(tables, lists).items():
         kind = df.schema[name].dataType
         proc = proc.join(df, KEY, "left").withColumn(
             name, F.coalesce(F.col(name), F.array().cast(kind))

@@ -314,7 +314,7 @@ sl AS (SELECT l_suppkey, string_agg('S-1-5-' || CAST(k AS STRING), ';' ORDER BY
 SELECT s_suppkey AS pid, coalesce(dlls, '') AS dlls, coalesce(handles, '') AS handles, coalesce(sids, '') AS sids
 FROM supplier LEFT JOIN dl ON dl.l_suppkey = s_suppkey LEFT JOIN h ON h.l_suppkey = s_suppkey LEFT JOIN sl ON sl.l_suppkey = s_suppkey""")
 def child_lists(spark, sf):
-    p = ops.assemble_process(_tables(spark, sf))
+    p = ops.assemble_process(_tables(spark, sf), ["dlls", "handles", "sids"])
     return p.select(
         "pid", F.array_join("dlls", ";").alias("dlls"), F.array_join("handles", ";").alias("handles"),
         F.array_join(F.transform("sids", lambda x: x["sid"]), ";").alias("sids"))

@@ -313,3 +313,20 @@ def test_connections_merge_without_sorting_texts(spark):
     df = process.merge_net(net)
     assert {(r.case_id, r.pid, r.foreign_addr): (r.state, *r.ord) for r in df.collect()} == want
     assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_lists_wanted_are_made(spark):
+    made = lambda rows, cols: spark.createDataFrame([("c", 1, *r) for r in rows], "case_id string, pid bigint, line_no bigint, " + cols)
+    tables = {
+        "process": made([(1, "a.exe")], "image string"),
+        "dll": made([(5, "", "B.dll"), (3, "", "a.dll"), (4, "", "b.dll"), (9, "x", "a.dll"), (2, "", None)], "path string, name string"),
+        "sid": made([(7, "S-2", "n"), (6, "s-2", "m"), (8, "S-1", None), (9, "s-2", "m"), (9, None, "z")], "sid string, name string"),
+        "handle": made([(2, "File", "q"), (1, "File", "")], "type string, name string"),
+        "privilege": made([], "privilege string, attributes string"),
+    }  # no connections: they are not asked for
+    df = process.assemble_process(tables, ["dlls", "handles", "sids"])
+    assert "nets" not in df.columns and "privs" not in df.columns
+    row = df.first()
+    assert row.dlls == ["a.dll", "b.dll", "x"] and row.handles == ["File", "File|q"]
+    assert [tuple(s) for s in row.sids] == [("s-2", "m"), ("S-1", None), (None, "z")]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
