@@ -26,8 +26,11 @@ def is_alive(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))).isin("", "N/A")
 
 
-def with_parent(proc: DataFrame) -> DataFrame:
-    """Adds ``parent_image``, ``parent_path``, ``parent_cmd``; null when there is no parent."""
+def with_parent(proc: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Adds ``parent_image``, ``parent_path``, ``parent_cmd``; null when there is no parent.
+
+    ``tasks`` is the number of tasks that meet, see :func:`spoor.scale.tasks_for`.
+    """
     parents = proc.select(
         "case_id",
         F.col("pid").alias("ppid"),
@@ -35,6 +38,8 @@ def with_parent(proc: DataFrame) -> DataFrame:
         F.lower("path").alias("parent_path"),
         F.lower("cmd").alias("parent_cmd"),
     )
+    if tasks:
+        proc, parents = (df.repartition(tasks, "case_id", "ppid") for df in (proc, parents))
     return proc.join(parents, ["case_id", "ppid"], "left")
 
 
@@ -229,8 +234,12 @@ def _full_name(low: Column) -> Column:
     return out
 
 
-def instance_counts(proc: DataFrame) -> dict[str, DataFrame]:
-    """Counts the rules need, each pre-aggregated; ``proc`` comes from ``with_parent``."""
+def instance_counts(proc: DataFrame, tasks: int | None = None) -> dict[str, DataFrame]:
+    """Counts the rules need, each pre-aggregated; ``proc`` comes from ``with_parent``.
+
+    With ``tasks``, rows lie by case and parent in so many tasks. Children of a parent are then
+    counted where they lie, and only these counts are dealt out by the other keys, to as many.
+    """
     p = proc.withColumns(
         {
             "image_low": F.lower("image"),
@@ -238,24 +247,25 @@ def instance_counts(proc: DataFrame) -> dict[str, DataFrame]:
             "alive": is_alive(F.col("exit_time")),
         }
     )
-    by_image = p.groupBy("case_id", "image_low").agg(
-        F.count(F.lit(1)).alias("n_total"), F.count_if("alive").alias("n_alive")
-    )
-    by_session = p.where(F.col("session").isNotNull()).groupBy("case_id", "full", "session").agg(
-        F.count(F.lit(1)).alias("n_session"), F.count_if("alive").alias("n_session_alive")
-    )
-    by_parent = p.groupBy("case_id", "full", "ppid").agg(
-        F.count(F.lit(1)).alias("n_parent")
-    )
-    children = p.groupBy("case_id", F.col("ppid").alias("pid")).agg(
-        F.count(F.lit(1)).alias("children")
-    )
-    roots = p.where((F.col("full") == "smss.exe") & (F.col("parent_image") == "system")).groupBy(
-        "case_id"
-    ).agg(F.count(F.lit(1)).alias("n_system_child"))
+    total = F.count(F.lit(1)).alias("_n")
+    roots = (F.col("full") == "smss.exe") & (F.col("parent_image") == "system")
+
+    def counted(rows: DataFrame, keys: Sequence[str], n: str, n_alive: str | None = None) -> DataFrame:
+        living = [F.count_if("alive").alias("_alive")] if n_alive else []
+        names = [n, n_alive] if n_alive else [n]
+        if tasks and "ppid" not in keys:
+            near = rows.groupBy(*dict.fromkeys(["case_id", "ppid", *keys])).agg(total, *living)
+            out = near.repartition(tasks, *keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_alive")[: len(names)]])
+        else:
+            out = rows.groupBy(*keys).agg(total, *living)
+        return out.select(*keys, *[F.col(c).alias(name) for c, name in zip(("_n", "_alive"), names)])
+
     return {
-        "image": by_image, "session": by_session, "parent": by_parent, "children": children,
-        "system_child": roots,
+        "image": counted(p, ["case_id", "image_low"], "n_total", "n_alive"),
+        "session": counted(p.where(F.col("session").isNotNull()), ["case_id", "full", "session"], "n_session", "n_session_alive"),
+        "parent": counted(p, ["case_id", "full", "ppid"], "n_parent"),
+        "children": counted(p, ["case_id", "ppid"], "children").withColumnRenamed("ppid", "pid"),
+        "system_child": counted(p.where(roots), ["case_id"], "n_system_child"),
     }
 
 

@@ -9,6 +9,7 @@ from spoor.operators import detections as det
 from spoor.operators import filters as flt
 from spoor.operators import process as ops
 from spoor.plans.bindings import PROCESSES, duck_sql, load, oracle, run_sql, view
+from spoor.scale import tasks_for
 from spoor.sources import tsv
 
 QUERIES, ORACLES = {}, {}
@@ -160,7 +161,9 @@ UNION ALL SELECT 'parent', case_id, fu, ppid, count(*), NULL FROM b GROUP BY ALL
 UNION ALL SELECT 'children', case_id, NULL, ppid, count(*), NULL FROM b GROUP BY ALL
 UNION ALL SELECT 'system_child', case_id, NULL, NULL, count(*), NULL FROM b WHERE fu = 'smss.exe' AND pim = 'system' GROUP BY ALL""")
 def instance_counts_all(spark, sf):
-    counts = ops.instance_counts(ops.with_parent(run_sql(spark, sf, _SNAPSHOT)))
+    proc = run_sql(spark, sf, _SNAPSHOT)
+    tasks = tasks_for(proc)
+    counts = ops.instance_counts(ops.with_parent(proc, tasks), tasks)
     none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     columns = {
         "image": ("image_low", none, "n_total", "n_alive"), "session": ("full", F.col("session").cast("bigint"), "n_session", "n_session_alive"),

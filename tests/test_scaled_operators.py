@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from spoor import scale
 from spoor.operators import detections, files, graph, prefixes, process
 from spoor.session import durable
 
@@ -330,3 +331,21 @@ def test_only_the_lists_wanted_are_made(spark):
     assert row.dlls == ["a.dll", "b.dll", "x"] and row.handles == ["File", "File|q"]
     assert [tuple(s) for s in row.sids] == [("s-2", "m"), ("S-1", None), (None, "z")]
     assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ---- counts of processes ---------------------------------------------------------
+
+
+def test_counts_are_made_in_as_many_tasks_as_rows_need(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b"]), i, rng.choice([None, *range(12)]), rng.choice(["System", "smss.exe", "fontdrvhost.ex"]),
+             rng.choice([None, 0, 1]), rng.choice(["", "gone"])) for i in range(300)]
+    proc = spark.createDataFrame(rows, "case_id string, pid bigint, ppid bigint, image string, session int, exit_time string")
+    proc = proc.withColumns({"path": F.lit(""), "cmd": F.lit("")})
+    assert scale.tasks_for(proc, 10) == 30 and scale.tasks_for(proc) == spark.sparkContext.defaultParallelism
+    plain = process.instance_counts(process.with_parent(proc))
+    dealt = process.instance_counts(process.with_parent(proc, 30), 30)
+    for name, counts in plain.items():
+        assert sorted(map(repr, counts.collect())) == sorted(map(repr, dealt[name].collect()))
+        plan = dealt[name]._jdf.queryExecution().executedPlan().toString()
+        assert name in ("parent", "children") or "30), REPARTITION_BY_NUM" in plan
