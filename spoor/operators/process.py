@@ -16,7 +16,7 @@ from spoor.functions import (
     notable_privs,
 
 )
-from spoor.scale import first_per_key, lagged, ordinal, running_sum, small_side
+from spoor.scale import first_per_key, fits, lagged, ordinal, running_sum, small_side, tasks_for
 from spoor.session import durable
 
 KEY = ["case_id", "pid"]
@@ -269,7 +269,8 @@ def instance_counts(proc: DataFrame, tasks: int | None = None) -> dict[str, Data
     }
 
 
-def _condition(r: Benign) -> Column:
+def _alone(r: Benign) -> Column:
+    """What a rule asks of a process and its parent, without any count."""
     ok = (F.col("full") == r.image) & ~F.col("wow64")
     path = F.lower(F.coalesce(F.col("path"), F.lit("")))
     ok = ok & (path == (r.path or ""))
@@ -286,7 +287,19 @@ def _condition(r: Benign) -> Column:
         "any": F.lit(True), "alive": F.col("alive"),
         "exited": ~F.col("alive") & (F.col("threads") == 0),
     }[r.state]
-    ok = ok & {
+    if r.extra and not _of_counts(r):
+        ok = ok & F.coalesce(F.expr(f"({r.extra})"), F.lit(False))
+    return ok
+
+
+def _of_counts(r: Benign) -> bool:
+    return "children" in r.extra
+
+
+def _counted(r: Benign) -> Column:
+    """What a rule asks of the counts."""
+    session = F.col("session")
+    ok = {
         "": F.lit(True),
         "total": F.col("n_total") == 1,
         "alive": F.col("n_alive") == 1,
@@ -295,7 +308,7 @@ def _condition(r: Benign) -> Column:
         "parent": F.col("n_parent") <= 1,
         "system_child": F.col("n_system_child") == 1,
     }[r.count]
-    if r.extra:
+    if _of_counts(r):
         ok = ok & F.coalesce(F.expr(f"({r.extra})"), F.lit(False))
     return ok
 
@@ -304,11 +317,14 @@ def exclude_benign(proc: DataFrame) -> DataFrame:
     """Adds ``excluded_by``: the first known-benign rule a process meets, else null.
 
     Only processes whose name a rule knows are looked at after the parent join, and the
-    counts, taken before anything is excluded, are of those names alone. Counts of a whole
+    counts, taken before anything is excluded, are of those names alone. What rules ask of a
+    process and its parent is settled there, as bits; processes with a bit meet the counts
+    without their texts, in as many tasks as the rows need. Counts of a whole
     case or image, one row each, are broadcast when they are measured to be small, so that
     a large case does not gather in one task.
     """
-    named = with_parent(proc).withColumns(
+    tasks = tasks_for(proc)
+    named = with_parent(proc, tasks).withColumns(
         {
             "image_low": F.lower("image"),
             "full": _full_name(F.lower("image")),
@@ -318,25 +334,39 @@ def exclude_benign(proc: DataFrame) -> DataFrame:
         }
     )
     images = sorted({r.image for r in BENIGN_RULES})
-    watched = durable(named.where(F.col("full").isin(images)))
-    counts = instance_counts(watched)
+    bits = F.lit(0).cast("long")
+    for i, r in enumerate(BENIGN_RULES):
+        bits = bits.bitwiseOR(F.when(_alone(r), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    # in a lambda: all rules in the generated code of a stage make a method too long to be compiled
+    may = F.transform(F.array(F.lit(True)), lambda _: bits)[0]
+    watched = durable(
+        named.where(F.col("full").isin(images)).select(
+            *KEY, "ppid", "image", "image_low", "full", "session", "exit_time", "parent_image", may.alias("_may")
+        )
+    )
+    counts = instance_counts(watched.repartition(tasks, "case_id", "ppid"), tasks)
     children = proc.groupBy("case_id", F.col("ppid").alias("pid")).agg(
         F.count(F.lit(1)).alias("children")
     )
-    facts = (
-        watched.join(small_side(counts["image"]), ["case_id", "image_low"], "left")
-        .join(counts["session"], ["case_id", "full", "session"], "left")
-        .join(counts["parent"], ["case_id", "full", "ppid"], "left")
-        .join(children, ["case_id", "pid"], "left")
-        .join(small_side(counts["system_child"]), ["case_id"], "left")
-        .withColumn("children", F.coalesce("children", F.lit(0)))
-    )
+
+    def meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys, "left")
+
+    facts = watched.where("_may != 0").select(*KEY, "ppid", "image_low", "full", "session", "_may")
+    if fits(counts["image"]):
+        facts = facts.join(F.broadcast(counts["image"]), ["case_id", "image_low"], "left")
+    else:
+        facts = meet(facts, counts["image"], ["case_id", "image_low"])
+    facts = meet(facts, counts["session"], ["case_id", "full", "session"])
+    facts = meet(facts, counts["parent"], ["case_id", "full", "ppid"])
+    facts = facts.join(small_side(counts["system_child"]), ["case_id"], "left")
+    facts = meet(facts, children, KEY).withColumn("children", F.coalesce("children", F.lit(0)))
     first = None
-    for r in BENIGN_RULES:
-        hit = _condition(r)
+    for i, r in enumerate(BENIGN_RULES):
+        hit = (F.col("_may").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & _counted(r)
         first = F.when(hit, r.name) if first is None else first.when(hit, r.name)
     verdict = facts.select(*KEY, first.alias("excluded_by")).where(F.col("excluded_by").isNotNull())
-    return proc.join(verdict, KEY, "left")
+    return meet(proc, verdict, KEY)
 
 
 # ---- forest ----------------------------------------------------------------------

@@ -199,3 +199,11 @@ def test_memory_report_lists_the_lines_of_a_pid(spark):
     assert got["42"] == "=== PID 42 (a.exe, ppid=4) ===\nCmdline: a -x\n\n--- pslist.txt ---\nL1: PID 42\n\n--- netscan.txt ---\nL5: x 42 y\n"
     assert got["7"] == "=== PID 7 (b.exe, ppid=4) ===\n(no matching lines in any artifact file)\n"
     assert process_plans.QUERIES
+
+
+def test_exclusion_meets_counts_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    want = sorted(map(repr, registry.QUERIES["benign_exclusion_rules"](spark, SF).collect()))
+    monkeypatch.setattr(process, "tasks_for", lambda df: 37)
+    df = registry.QUERIES["benign_exclusion_rules"](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("37), REPARTITION_BY_NUM") >= 6
+    assert sorted(map(repr, df.collect())) == want
