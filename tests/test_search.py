@@ -138,3 +138,16 @@ def test_queries_that_share_a_needle_meet_its_first_lines_only(spark, monkeypatc
         (f"q{i}", "b.txt", n, n + 1) for i in range(300) for n in range(3)
     )
     assert max(ranked) <= 300 * 2 * 3
+
+
+def test_lines_are_made_distinct_only_where_a_finding_has_several_keys(spark):
+    lines = lines_of(spark, ["alpha beta", "beta", "gamma alpha", "alpha"])
+    keys = lambda rows: spark.createDataFrame(rows, "finding_id string, term string, mode string")
+    found = lambda df: sorted((r.finding_id, r.line_no) for r in df.collect())
+    numbers = [r.line_no for r in lines.orderBy("line_no").collect()]
+    one = S.pivot_lines(keys([("f", "alpha", "word"), ("g", "beta", "word")]), lines)
+    assert found(one) == sorted([("f", numbers[i]) for i in (0, 2, 3)] + [("g", numbers[i]) for i in (0, 1)])
+    two = S.pivot_lines(keys([("f", "alpha", "word"), ("f", "beta", "word")]), lines)
+    assert found(two) == [("f", n) for n in numbers]
+    top = lambda df: df._jdf.queryExecution().optimizedPlan().nodeName()
+    assert top(one) != "Aggregate" and top(two) == "Aggregate"
