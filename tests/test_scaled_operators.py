@@ -267,6 +267,47 @@ def test_a_product_of_prefixes_equals_the_list_of_its_pairs(spark):
     assert {tuple(r) for r in longest} == {(r["path"], r["prefix"]) for r in want if r["prefix"]}
 
 
+@pytest.mark.parametrize("hot, inline, small", [(3, 4, False), (3, 64, True), (500_000, 4, False)])
+def test_rules_meet_paths_only_as_far_as_prefixes_reach(spark, monkeypatch, hot, inline, small):
+    rng = random.Random(2)
+    name = lambda: rng.choice(["a", "ab", "b", "C", "é", "x y", "a1", "a12"])
+    text = lambda n: "".join(name() + rng.choice(["\\", "/", "\\", ""]) for _ in range(n))
+    plain = lambda p: __import__("re").sub(r'^[" ]*([a-z]:)?\\*', "", p.strip(" ").lower().replace("/", "\\"))
+    listed = [(text(rng.randint(1, 3)), rng.choice("pqr")) for _ in range(40)] + [("C:/Only/", "one"), ("C:/Only/", "more"), (None, "z")]
+    heads = [(f"//Data/{i}/f", i % 3) for i in range(9)] + [("a/ab", 1)]
+    tails = [(t, i % 3) for i, t in enumerate(["1", "12", "123", "\\b", "/a1", "x y"])] + [(None, 0)]
+    paths = [rng.choice(["", "c:\\", '"D:/']) + text(rng.randint(1, 6)) for _ in range(300)] + [None, None, "", "\\", "Only\\"] + [
+        f"E:/only/x{i}.txt" for i in range(20)] + [f"data\\{i}\\F{j}" for i in range(12) for j in ("1", "123x", "12\\b", "/b", "x y")]
+    rules = {}
+    for prefix, rule in listed:
+        if prefix is not None:
+            rules[plain(prefix)] = min(rule, rules.get(plain(prefix), "~"))
+    for head, k in heads:
+        for tail, link in tails:
+            if tail is not None and k == link:
+                key = plain(head) + tail.replace("/", "\\")
+                rules[key] = min("pair", rules.get(key, "~"))
+    want = []
+    for i, p in enumerate(paths):
+        best = max((k for k in rules if p is not None and plain(p).startswith(k)), key=len, default=None)
+        want.append((i, p, best, rules.get(best)))
+    for what, value in (("HOT_ROWS", hot), ("INLINE", inline)):
+        monkeypatch.setattr(prefixes, what, value)
+    if not small:
+        monkeypatch.setattr(prefixes, "small_side", lambda df: df)
+    df = spark.createDataFrame(list(enumerate(paths)), "i int, path string")
+    table = spark.createDataFrame(listed, "prefix string, rule string")
+    product = prefixes.Product(spark.createDataFrame(heads, "head string, k int"), spark.createDataFrame(tails, "tail string, k int"), ["k"], "pair")
+    got = prefixes.prefix_rules(df, table, products=[product])
+    assert sorted(map(tuple, got.collect())) == want
+    assert "hashpartitioning(path" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r["path"]: r["prefix"] for r in prefixes.longest_prefix(df, table, products=[product]).collect()}
+    assert found == {p: best for _, p, best, _ in want if best is not None}
+    only = {k for k in map(plain, (p for p, _ in listed if p is not None))}
+    kept = prefixes.drop_prefixed(df, table).collect()
+    assert sorted(map(tuple, kept)) == [(i, p) for i, p in enumerate(paths) if p is None or not any(plain(p).startswith(k) for k in only)]
+
+
 def test_entropy_takes_bytes_without_writing_them_as_text(spark):
     import math
     from collections import Counter
